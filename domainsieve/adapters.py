@@ -1,0 +1,63 @@
+"""Driver tables as domain inputs.
+
+The driver has no table of domain names, so names are derived from `part` and
+everything else hangs off them.
+"""
+
+from __future__ import annotations
+
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from domainsieve import fixed
+from domainsieve.functions.literals import literal_table
+from domainsieve.operators.brands import brand_index, brand_map, seed_brands
+from domainsieve.operators.names import TailIndex, suffix_index
+from domainsieve.sources.text import suffix_rule_rows
+
+HOST_SQL = """CASE p_partkey % 8
+ WHEN 0 THEN replace(p_name,' ','-')||'.xyz'
+ WHEN 1 THEN 'www.'||replace(p_name,' ','')||cast(p_size AS varchar(10))||'.com'
+ WHEN 2 THEN substr(md5(cast(p_partkey AS varchar(20))),1,12)
+  ||translate(substr(md5(cast(p_partkey AS varchar(20))),13,16),
+              '0123456789abcdef','ghjklmnpqrstvwxz')||'.ru'
+ WHEN 3 THEN replace(p_name,' ','-')||'-login.github.io'
+ WHEN 4 THEN translate(replace(p_name,' ','-'),'oel','031')||'.top'
+ WHEN 5 THEN 'cdn.'||replace(p_name,' ','-')||'.co.uk'
+ WHEN 6 THEN 'xn--'||replace(p_name,' ','')||'-'||cast(p_size AS varchar(10))||'a.info'
+ ELSE 'mail.'||replace(p_name,' ','-')||cast(p_partkey AS varchar(20))||'.net'
+END"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hosts(spark, sf_dir) -> DataFrame:
+    """(p_partkey, domain), a name may repeat."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(HOST_SQL).alias("domain"))
+
+
+def names(spark, sf_dir) -> DataFrame:
+    """Distinct names."""
+    return hosts(spark, sf_dir).select("domain").distinct()
+
+
+def rules(spark) -> DataFrame:
+    rows = [suffix_rule_rows(r, s) for s, rs in (("icann", fixed.SAMPLE_ICANN_RULES),
+                                                 ("private", fixed.SAMPLE_PRIVATE_RULES))
+            for r in rs]
+    return literal_table(
+        spark, rows, "suffix string, section string, is_wildcard boolean, is_exception boolean")
+
+
+def sample_hosting(spark) -> DataFrame:
+    bases = [r.removeprefix("*.") for r in fixed.SAMPLE_PRIVATE_RULES] + list(fixed.SEED_HOSTING)
+    return literal_table(spark, [(b,) for b in bases], "suffix string")
+
+
+def index(spark) -> TailIndex:
+    """Suffix index of the sample rules: a literal list of known depth."""
+    depth = max(len(r.lstrip("*!.").split("."))
+                for r in fixed.SAMPLE_ICANN_RULES + fixed.SAMPLE_PRIVATE_RULES + fixed.SEED_HOSTING)
+    return suffix_index(rules(spark), sample_hosting(spark), depth=depth)
