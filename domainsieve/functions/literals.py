@@ -8,7 +8,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+def literal_table(spark: SparkSession, rows, schema: str | StructType) -> DataFrame:
     """A DataFrame of a few rows, handed over as one Arrow table."""
     fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     columns = list(zip(*rows)) if rows else [[] for _ in fields]

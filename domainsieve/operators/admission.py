@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from domainsieve.fixed import NEVER_BLOCK_NAMES, NEVER_BLOCK_SUFFIXES, UPSTREAM_HOSTS
 from domainsieve.functions.literals import literal_table
-from domainsieve.functions.names import ends_with_any, label_count
 from domainsieve.operators.lookup import BROADCAST_ROWS, small_or_shuffled
-from domainsieve.operators.names import TailIndex, has_bit, match_tails, tail_index
+from domainsieve.operators.names import LABELS, TailIndex, match_tails, tail_index
 from domainsieve.sources.workdir import new_folder, written
 
 # Bits of a policy entry.
@@ -34,13 +33,12 @@ def policy_index(allowlist: DataFrame, never_names=NEVER_BLOCK_NAMES, upstream=(
 
 def with_never_block(d: DataFrame, policy: TailIndex) -> DataFrame:
     """Add `never_block`: an exact entry, or below a suffix entry. No shuffle."""
-    m = match_tails(d, policy, "_p")
-    n = label_count(F.col("domain"))
-    hit = ends_with_any(F.col("domain"), NEVER_BLOCK_SUFFIXES)
+    tests = [f"domain LIKE '%{s}'" for s in NEVER_BLOCK_SUFFIXES]
     for k in range(1, policy.depth + 1):
-        mask = F.col(f"_p{k}")
-        hit = hit | (has_bit(mask, _EXACT) & (n == k)) | (has_bit(mask, _SUFFIX) & (n > k))
-    return m.select(*d.columns, hit.alias("never_block"))
+        tests.append(f"coalesce(_p{k} & {_EXACT} <> 0 AND {LABELS} = {k}, false)")
+        tests.append(f"coalesce(_p{k} & {_SUFFIX} <> 0 AND {LABELS} > {k}, false)")
+    keep = [f"`{c}`" for c in d.columns]
+    return match_tails(d, policy, "_p").selectExpr(*keep, f"({' OR '.join(tests)}) AS never_block")
 
 
 def skip_policy(d: DataFrame, policy: TailIndex) -> DataFrame:
@@ -60,8 +58,8 @@ def distinct_first(d: DataFrame, order: str | None = None) -> DataFrame:
     if order is None:
         return d.dropDuplicates(["domain"])
     rest = [c for c in d.columns if c != "domain"]
-    first = d.groupBy("domain").agg(F.min_by(F.struct(*rest), F.col(order)).alias("r"))
-    return first.select("domain", "r.*")
+    first = d.groupBy("domain").agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
+    return first.select("domain", "_first.*")
 
 
 def unseen(d: DataFrame, seen: DataFrame, as_of, ttl_days: float) -> DataFrame:

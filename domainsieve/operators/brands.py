@@ -20,11 +20,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from domainsieve.fixed import LEET_FROM, LEET_TO, SEED_BRANDS
 from domainsieve.functions.literals import literal_table
-from domainsieve.operators.lookup import BROADCAST_ROWS
 from domainsieve.operators.names import TailIndex, with_host_labels
 from domainsieve.params import DEFAULTS, Params
 
 CONTAINS_CONFIDENCE = 0.85  # fixed value: lowest confidence of a brand inside a name
+SMALL_BRANDS = 20_000       # brands up to which the table is broadcast
 _PREFIX = 4                 # characters of a brand used as its containment key
 
 
@@ -75,12 +75,19 @@ class BrandIndex:
 
 
 def brand_index(brands: DataFrame) -> BrandIndex:
-    """Measure a brand table in one job that returns a row per token length."""
-    table = (brands.select("brand", "official_apex", "brand_order")
-             .withColumns({"brand_label": brand_label(F.col("brand")), "size": F.length("brand")}))
-    counts = brands.groupBy(F.length("brand").alias("size")).count().collect()
-    rows = sum(r["count"] for r in counts)
-    return BrandIndex(table, tuple(sorted(r["size"] for r in counts)), rows <= BROADCAST_ROWS)
+    """Measure a brand table, once. Up to SMALL_BRANDS rows it becomes a literal table,
+    so that the plans that use it do not derive it again."""
+    brands = brands.select("brand", "official_apex", "brand_order")
+    rows = brands.limit(SMALL_BRANDS + 1).collect()
+    small = len(rows) <= SMALL_BRANDS
+    if small:
+        lengths = {len(r["brand"]) for r in rows}
+        brands = literal_table(brands.sparkSession, [tuple(r) for r in rows], brands.schema)
+    else:
+        lengths = {r[0] for r in brands.select(F.length("brand")).distinct().collect()}
+    table = brands.withColumns({"brand_label": brand_label(F.col("brand")),
+                                "size": F.length("brand")})
+    return BrandIndex(table, tuple(sorted(lengths)), small)
 
 
 def official_brand_join(d: DataFrame, brands: BrandIndex) -> DataFrame:
@@ -213,7 +220,7 @@ def brand_similarity_join(candidates: DataFrame, brands: BrandIndex,
         F.struct("brand", "brand_label", "confidence", "edit_distance", kind.alias("match_type")),
         F.struct(-F.col("confidence"), "brand_order", "brand", "candidate_order"))
     return (hits.filter(F.col("confidence") >= match)
-            .groupBy("domain").agg(best.alias("b")).select("domain", "b.*"))
+            .groupBy("domain").agg(best.alias("_best")).select("domain", "_best.*"))
 
 
 def with_brand_match(d: DataFrame, brands: BrandIndex, params: Params = DEFAULTS,

@@ -23,8 +23,8 @@ def new_feed_domains(feed: DataFrame, threats: DataFrame) -> DataFrame:
 def first_feed_wins(listed: DataFrame, feeds: DataFrame) -> DataFrame:
     """One row per name: the first feed in order that lists it."""
     d = listed.join(F.broadcast(feeds), "feed")
-    first = F.min(F.struct("feed_order", "feed", "category")).alias("f")
-    return d.groupBy("domain").agg(first).select("domain", "f.*")
+    first = F.min(F.struct("feed_order", "feed", "category")).alias("_first")
+    return d.groupBy("domain").agg(first).select("domain", "_first.*")
 
 
 def is_trusted(feed: Column) -> Column:

@@ -7,13 +7,11 @@ depth. No shuffle is needed and the input columns stay in place.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from domainsieve.fixed import SEED_HOSTING
 from domainsieve.functions.literals import literal_table
-from domainsieve.functions.names import first_label, is_ipv4, label_count, tail
+from domainsieve.functions.names import IPV4, label_count
 from domainsieve.operators.lookup import BROADCAST_ROWS
 
 # Bits of a rule entry.
@@ -42,18 +40,18 @@ def tail_index(entries: DataFrame, depth: int | None = None) -> TailIndex:
     return TailIndex(F.broadcast(entries.coalesce(1).groupBy("base").agg(mask)), depth or 0)
 
 
+LABELS = "(length(domain) - length(replace(domain, '.', '')) + 1)"
+
+
 def match_tails(d: DataFrame, index: TailIndex, prefix: str = "_m") -> DataFrame:
     """Add the mask of each tail of `domain` as columns prefix1, prefix2, …"""
     for k in range(1, index.depth + 1):
-        t = index.table.select(F.col("base").alias("_base"), F.col("mask").alias(f"{prefix}{k}"))
-        d = d.join(t, tail(F.col("domain"), k) == F.col("_base"), "left").drop("_base")
+        t = index.table.selectExpr("base AS _base", f"mask AS {prefix}{k}")
+        tail = f"if({LABELS} >= {k}, substring_index(domain, '.', -{k}), null) = _base"
+        d = d.join(t, F.expr(tail), "left").drop("_base")
     return d
 
 
-def has_bit(mask: Column, bit: int) -> Column:
-    return F.coalesce(mask.bitwiseAND(bit) != 0, F.lit(False))
-
-
 def suffix_index(rules: DataFrame, hosting: DataFrame | None = None,
                  depth: int | None = None) -> TailIndex:
     """Index of suffix rules (see read_suffix_rules) and hosting suffixes."""
@@ -68,60 +66,42 @@ def suffix_index(rules: DataFrame, hosting: DataFrame | None = None,
     return tail_index(entries, depth)
 
 
-def _suffix_labels(depth: int, labels: Column, plain: int, wild: int, exception: int) -> Column:
+def _suffix_labels(depth: int, plain: int, wild: int, exception: int) -> str:
     """Number of labels in the longest matching suffix, 0 for none."""
-    none = F.lit(None).cast("int")
-    exact, except_ = [F.lit(0)], []
-    for k in range(1, depth + 1):
-        mask = F.col(f"_m{k}")
-        exact.append(F.when(has_bit(mask, plain), k).otherwise(0))
-        exact.append(F.when(has_bit(mask, wild) & (labels > k), k + 1).otherwise(0))
-        except_.append(F.when(has_bit(mask, exception), k - 1).otherwise(none))
-    longest = reduce(lambda a, b: F.greatest(a, b), exact)
-    return F.coalesce(*except_, longest) if except_ else longest
-
+    ks = range(1, depth + 1)
+    exceptions = [f"if(_m{k} & {exception} <> 0, {k - 1}, null)" for k in ks]
+    matches = [f"if(_m{k} & {plain} <> 0, {k}, 0), if(_m{k} & {wild} <> 0 AND _n > {k}, {k + 1}, 0)"
+               for k in ks]
+    return f"coalesce({', '.join([*exceptions, 'greatest(' + ', '.join(['0', '0', *matches]) + ')'])})"
 
-def _label_from_right(name: Column, position: Column) -> Column:
-    return F.element_at(F.split(name, r"\."), -position)
 
-
-def _tail_of(name: Column, labels: Column) -> Column:
-    return F.call_function("substring_index", name, F.lit("."), -labels)
+def _host_label(suffix: str) -> str:
+    # No suffix: the last label, or the whole of a dotted address. The name is itself a
+    # suffix: the first label of its apex.
+    return f"""CASE WHEN {suffix} = 0 AND domain RLIKE '{IPV4}' THEN domain
+        WHEN {suffix} = 0 THEN substring_index(domain, '.', -1)
+        WHEN {suffix} >= _n THEN substring_index(apex, '.', 1)
+        ELSE substring_index(substring_index(domain, '.', -({suffix} + 1)), '.', 1) END"""
 
 
 def with_name_keys(d: DataFrame, index: TailIndex) -> DataFrame:
     """Add apex, private_apex, host_label, icann_label and provider in one pass."""
-    name = F.col("domain")
-    m = match_tails(d, index).withColumn("_n", label_count(name))
-    m = m.withColumn("_si", _suffix_labels(index.depth, F.col("_n"), ICANN, ICANN_WILD, ICANN_EXCEPT))
-    m = m.withColumn("_sp", _suffix_labels(
-        index.depth, F.col("_n"), ICANN | PRIVATE, ICANN_WILD | PRIVATE_WILD,
-        ICANN_EXCEPT | PRIVATE_EXCEPT))
-    n, si, sp = F.col("_n"), F.col("_si"), F.col("_sp")
-
+    m = match_tails(d, index).selectExpr("*", f"{LABELS} AS _n")
+    m = m.selectExpr(
+        "*", f"{_suffix_labels(index.depth, ICANN, ICANN_WILD, ICANN_EXCEPT)} AS _si",
+        _suffix_labels(index.depth, ICANN | PRIVATE, ICANN_WILD | PRIVATE_WILD,
+                       ICANN_EXCEPT | PRIVATE_EXCEPT) + " AS _sp")
     # One label more than the suffix; two labels when there is no suffix or nothing left of it.
-    apex = _tail_of(name, F.when((si > 0) & (si < n), si + 1).otherwise(F.least(n, F.lit(2))))
-
-    def label(s):
-        # No suffix: the last label, or the whole of a dotted address. The name is itself
-        # a suffix: the first label of its apex.
-        return (F.when((s == 0) & is_ipv4(name), name)
-                .when(s == 0, _label_from_right(name, F.lit(1)))
-                .when(s >= n, first_label(F.col("apex")))
-                .otherwise(_label_from_right(name, s + 1)))
-
-    provider = F.coalesce(*[
-        F.when(has_bit(F.col(f"_m{k}"), HOSTING), tail(name, k))
-        for k in range(index.depth, 0, -1)], F.lit(None).cast("string"))
-    m = m.withColumn("apex", apex)
-    return m.select(
-        *d.columns, "apex",
-        F.when((sp > 0) & (sp < n), _tail_of(name, sp + 1)).otherwise(F.col("apex"))
-        .alias("private_apex"),
-        label(sp).alias("host_label"),
-        label(si).alias("icann_label"),
-        provider.alias("provider"),
-    )
+    m = m.selectExpr("*", """substring_index(domain, '.',
+        -if(_si > 0 AND _si < _n, _si + 1, least(_n, 2))) AS apex""")
+    providers = [f"if(_m{k} & {HOSTING} <> 0, substring_index(domain, '.', -{k}), null)"
+                 for k in range(index.depth, 0, -1)]
+    keep = [f"`{c}`" for c in d.columns]
+    return m.selectExpr(
+        *keep, "apex",
+        "if(_sp > 0 AND _sp < _n, substring_index(domain, '.', -(_sp + 1)), apex) AS private_apex",
+        f"{_host_label('_sp')} AS host_label", f"{_host_label('_si')} AS icann_label",
+        f"coalesce({', '.join([*providers, 'cast(null AS string)'])}) AS provider")
 
 
 def with_apex(d: DataFrame, index: TailIndex) -> DataFrame:

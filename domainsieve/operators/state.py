@@ -44,7 +44,7 @@ def latest_verdict(classifications: DataFrame) -> DataFrame:
     """Newest (category, confidence, blocked) per name; the highest id breaks ties."""
     newest = F.max_by(F.struct("category", "confidence", "blocked"),
                       F.struct("classified_at", "id"))
-    return classifications.groupBy("domain").agg(newest.alias("v")).select("domain", "v.*")
+    return classifications.groupBy("domain").agg(newest.alias("_newest")).select("domain", "_newest.*")
 
 
 def touch(threats: DataFrame, feed: DataFrame, as_of: Column) -> DataFrame:

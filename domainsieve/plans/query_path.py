@@ -41,7 +41,8 @@ def dispositions(d: DataFrame, tables: QueryTables, as_of: Column,
     Routes are tested in this order: SUBDOMAIN_BLOCK, POPULAR, PREFILTER, SCORE.
     Brand search runs only for names the first two leave open, lookups only for
     names that go to the model. `first_rules` is the score before lookups, which
-    the pre-filter uses; `rules` is the score with them.
+    the pre-filter uses; `rules` is the score with them. Both, and `evidence`, are null for the
+    first two routes.
     """
     names = d.select(clean_name(F.col("domain")).alias("domain")).distinct()
     n = with_name_keys(names, tables.index)
@@ -68,7 +69,9 @@ def dispositions(d: DataFrame, tables: QueryTables, as_of: Column,
                        "tls": F.when(to_model, F.col("tls"))})
     n = with_rules(n, params, provider=F.col("provider"), asn=F.col("asn"),
                    asn_flagged=F.col("asn_flagged"), tls="tls", age_days=F.col("age_days"))
-    return evidence(n)
+    n = evidence(n)
+    scored = F.col("route").isin("PREFILTER", "SCORE")
+    return n.withColumns({c: F.when(scored, F.col(c)) for c in ("first_rules", "rules", "evidence")})
 
 
 def model_requests(decided: DataFrame) -> DataFrame:

@@ -6,25 +6,33 @@ serves batch, streams and tests.
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from domainsieve.fixed import LOG_QUERY_PATTERN, LOG_SKIP_NAMES, Feed
-from domainsieve.functions.names import clean_name, is_internal, is_ip, strip, url_host, url_path
+from domainsieve.functions.names import (
+    clean_name, explode_if, is_internal, is_ip, let, strip, url_host, url_path)
 from domainsieve.params import DEFAULTS
 
+# Python workers get this code with the job, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # -- resolver log -------------------------------------------------------------
 
 def parse_query_log(lines: DataFrame) -> DataFrame:
     """(domain, time_text, client) of the query lines; internal names dropped."""
     value = F.col("value")
-    parsed = lines.filter(value.rlike(LOG_QUERY_PATTERN)).select(
-        clean_name(F.regexp_extract(value, LOG_QUERY_PATTERN, 1)).alias("domain"),
+    name = explode_if(
+        clean_name(F.regexp_extract(value, LOG_QUERY_PATTERN, 1)),
+        lambda n: F.contains(n, F.lit(".")) & ~is_internal(n) & ~n.isin(*LOG_SKIP_NAMES))
+    return lines.select(
+        name.alias("domain"),
         F.regexp_extract(value, r"^(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})", 1).alias("time_text"),
         F.regexp_extract(value, LOG_QUERY_PATTERN + r"\s+(\S+)", 2).alias("client"))
-    name = F.col("domain")
-    return parsed.filter(F.contains(name, F.lit(".")) & ~is_internal(name)
-                         & ~name.isin(*LOG_SKIP_NAMES))
 
 
 def read_query_log(spark: SparkSession, path: str, streaming: bool = False,
@@ -39,24 +47,28 @@ def read_query_log(spark: SparkSession, path: str, streaming: bool = False,
 
 def parse_feed_lines(lines: DataFrame, feed: Feed) -> DataFrame:
     """Distinct (feed, domain) of a feed's lines."""
-    line = strip(F.col("value"))
-    d = lines.select(line.alias("_line")).filter(F.col("_line") != "")
-    if feed.comment_prefix:
-        d = d.filter(~F.col("_line").startswith(feed.comment_prefix))
     hosts_form = r"^(?:0\.0\.0\.0|127\.0\.0\.1)\s+(\S+)"
-    entry = F.when(F.col("_line").rlike(hosts_form), F.regexp_extract("_line", hosts_form, 1)
-                   ).otherwise(F.col("_line"))
-    d = d.select(entry.alias("_entry"))
-    if feed.is_url_list:
-        e = F.col("_entry")
-        url = F.when(F.contains(e, F.lit("://")), e).otherwise(F.concat(F.lit("http://"), e))
-        is_url = F.contains(e, F.lit("://")) | e.startswith("http")
-        d = d.select(F.when(is_url, F.coalesce(url_host(url), url_path(url)))
-                     .otherwise(e).alias("_entry"))
-    d = d.select(F.lit(feed.name).alias("feed"), clean_name(F.col("_entry")).alias("domain"))
-    name = F.col("domain")
-    return d.filter(~is_ip(name) & F.contains(name, F.lit(".")) & (F.length(name) >= 4)
-                    & ~is_internal(name)).distinct()
+
+    def is_entry(line):
+        return (line != "") & ~line.startswith(feed.comment_prefix) if feed.comment_prefix else line != ""
+
+    def bare(line):
+        return F.when(line.rlike(hosts_form), F.regexp_extract(line, hosts_form, 1)).otherwise(line)
+
+    def host(entry):
+        has_scheme = F.contains(entry, F.lit("://"))
+        url = F.when(has_scheme, entry).otherwise(F.concat(F.lit("http://"), entry))
+        found = let(url, lambda u: F.coalesce(url_host(u), url_path(u)))
+        return F.when(has_scheme | entry.startswith("http"), found).otherwise(entry)
+
+    def is_name(name):
+        return (F.contains(name, F.lit(".")) & (F.length(name) >= 4) & ~is_ip(name)
+                & ~is_internal(name))
+
+    d = lines.select(explode_if(strip(F.col("value")), is_entry).alias("_line"))
+    entry = let(bare(F.col("_line")), host) if feed.is_url_list else bare(F.col("_line"))
+    return d.select(F.lit(feed.name).alias("feed"),
+                    explode_if(clean_name(entry), is_name).alias("domain")).distinct()
 
 
 def read_domain_feed(spark: SparkSession, feeds, path: str) -> DataFrame:
@@ -108,7 +120,7 @@ def suffix_rule_rows(rule: str, section: str) -> tuple[str, str, bool, bool]:
     return rule.lstrip("*!.").lower(), section, rule.startswith("*."), rule.startswith("!")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii_form(suffix):
     """Names are looked up in their ASCII form, so rules need it as well."""
     def convert(text):
