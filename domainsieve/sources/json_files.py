@@ -29,9 +29,16 @@ def read_json_feed(spark: SparkSession, path: str, field: str = "url") -> DataFr
                      F.substring(F.ltrim(F.col("value"), F.lit(" \t﻿")), 1, 1).alias("begin"))
              .groupBy("_file").agg(F.min_by("begin", "line").alias("begin"))
              .filter("begin = '['"))
-    items = (spark.read.schema(StructType([StructField(field, StringType())]))
-             .option("multiLine", True).json(path).select(field, file.alias("_file")))
-    return parse_json_feed(items.join(first, "_file", "left_semi"), field)
+    items = (spark.read.schema(StructType([StructField(field, StringType()),
+                                           StructField("_text", StringType())]))
+             .option("multiLine", True).option("columnNameOfCorruptRecord", "_text").json(path)
+             .select(field, "_text", file.alias("_file"))
+             .join(first, "_file", "left_semi"))
+    # The reader takes no array with an element that is not an object; such a file comes as text.
+    elements = F.transform(F.from_json("_text", "array<string>"),
+                           lambda e: F.get_json_object(e, f"$['{field}']"))
+    values = F.when(F.col("_text").isNull(), F.array(field)).otherwise(elements)
+    return parse_json_feed(items.select(F.explode(values).alias(field)), field)
 
 
 # -- ASN list -----------------------------------------------------------------
