@@ -20,12 +20,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from domainsieve.fixed import LEET_FROM, LEET_TO, SEED_BRANDS
 from domainsieve.functions.literals import literal_table
+from domainsieve.functions.names import explode_if
 from domainsieve.operators.names import TailIndex, with_host_labels
 from domainsieve.params import DEFAULTS, Params
 
 CONTAINS_CONFIDENCE = 0.85  # fixed value: lowest confidence of a brand inside a name
 SMALL_BRANDS = 20_000       # brands up to which the table is broadcast
-_PREFIX = 4                 # characters of a brand used as its containment key
+_PREFIX = 5                 # characters of a brand used as its containment key
+_START = 0                  # tag of such a key; pieces are tagged size * _PIECES + number
+_PIECES = 1024
+_TABLE_LENGTH = 255         # candidate lengths with a row in the table of places
 
 
 def brand_label(brand: Column) -> Column:
@@ -139,7 +143,7 @@ def _pieces(length: int, edits: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-def _probes(lengths, match: float) -> dict[int, list[dict]]:
+def _near_probes(lengths, match: float) -> dict[int, list[tuple]]:
     """For each candidate length, where to look for the pieces of brands of each length."""
     found = defaultdict(list)
     for size in lengths:
@@ -153,45 +157,53 @@ def _probes(lengths, match: float) -> dict[int, list[dict]]:
                 low, high = max(-i, gap - (edits - i)), min(i, gap + (edits - i))
                 for at in range(start + low, start + high + 1):
                     if 0 <= at <= n - (end - start):
-                        found[n].append({"size": size, "piece": i, "position": at + 1,
-                                         "width": end - start})
+                        found[n].append((size * _PIECES + i, at + 1, end - start))
     return found
 
 
 def _brand_keys(brands: BrandIndex, match: float) -> DataFrame:
-    """One row per brand and key: its pieces, and its first characters."""
+    """One row per brand and key (tag, text): its pieces, and its first characters."""
     size = F.col("size")
     edits = F.floor(size * (1 - match) / match + 1e-9).cast("int")
 
     def piece(i):
         start = F.floor(i * size / (edits + 1)).cast("int")
         end = F.floor((i + 1) * size / (edits + 1)).cast("int")
-        return F.concat_ws(":", size, i, F.substring(F.col("brand"), start + 1, end - start))
+        return F.struct((size * _PIECES + i).alias("tag"),
+                        F.substring(F.col("brand"), start + 1, end - start).alias("text"))
 
     pieces = F.transform(F.sequence(F.lit(0), edits), piece)
-    start = F.concat(F.lit("^"), F.substring("brand", 1, _PREFIX))
+    start = F.struct(F.lit(_START).alias("tag"), F.substring("brand", 1, _PREFIX).alias("text"))
     keyed = brands.table.drop("official_apex").withColumn(
-        "_key", F.explode(F.concat(pieces, F.array(start))))
+        "_k", F.explode(F.concat(pieces, F.array(start)))).select("*", "_k.*").drop("_k")
     return F.broadcast(keyed) if brands.small else keyed
 
 
 def _candidate_keys(candidates: DataFrame, brands: BrandIndex, match: float) -> DataFrame:
-    """Candidates, one row per key under which a matching brand is found."""
-    spark, text = candidates.sparkSession, F.col("candidate")
-    probes = literal_table(spark, list(_probes(brands.lengths, match).items()), """
-        _n int, _probes array<struct<size: int, piece: int, position: int, width: int>>""")
-    near = F.transform(F.coalesce("_probes", F.array()), lambda p: F.concat_ws(
-        ":", p.size, p.piece, F.substring(text, p.position, p.width)))
+    """Candidates, one row per key under which a matching brand is found.
 
-    def starts(width):
-        last = F.greatest(F.length(text) - width + 1, F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda at: F.when(
-            F.length(text) > width, F.concat(F.lit("^"), F.substring(text, at, width))))
-
-    widths = sorted({min(n, _PREFIX) for n in brands.lengths}) or [_PREFIX]
-    keys = F.array_distinct(F.array_compact(F.concat(near, *[starts(w) for w in widths])))
-    return (candidates.join(F.broadcast(probes), F.length(text) == F.col("_n"), "left")
-            .withColumn("_key", F.explode(keys)).drop("_n", "_probes"))
+    Which parts of a candidate to look up depends on its length alone, so the
+    places come from a literal table with a row per length.
+    """
+    spark, size = candidates.sparkSession, F.length("candidate")
+    widths = sorted({min(n, _PREFIX) for n in brands.lengths})
+    near = _near_probes(brands.lengths, match)
+    rows = [(n, [dict(zip(("tag", "at", "width"), p)) for p in near.get(n, []) + [
+        (_START, at, w) for w in widths if n > w for at in range(1, n - w + 2)]])
+        for n in range(1, max([_TABLE_LENGTH, *near]) + 1)]
+    kind = "array<struct<tag: int, at: int, width: int>>"
+    places = F.broadcast(literal_table(spark, rows, f"_n int, _places {kind}"))
+    # Longer than any DNS name: the places of the first characters, computed per row.
+    longer = F.flatten(F.array(*[F.transform(
+        F.sequence(F.lit(1), size), lambda at, w=w: F.struct(
+            F.lit(_START).alias("tag"), at.cast("int").alias("at"), F.lit(w).alias("width")))
+        for w in widths])) if widths else F.array().cast(kind)
+    places_of = F.coalesce("_places", F.when(size > 0, longer))
+    return (candidates.join(places, size == F.col("_n"), "left")
+            .withColumn("_p", F.explode(places_of))
+            .withColumns({"tag": F.col("_p.tag"), "text": F.substring(
+                F.col("candidate"), F.col("_p.at"), F.col("_p.width"))})
+            .drop("_n", "_places", "_p"))
 
 
 def brand_similarity_join(candidates: DataFrame, brands: BrandIndex,
@@ -203,23 +215,30 @@ def brand_similarity_join(candidates: DataFrame, brands: BrandIndex,
     match = params.brand_match
     if match <= 0.5:
         raise ValueError("brand_match must be above 0.5")
-    hits = _candidate_keys(candidates, brands, match).join(_brand_keys(brands, match), "_key")
-    text = F.col("candidate")
+    text, brand = F.col("candidate"), F.col("brand")
+    gap = F.length(text) - F.col("size")
     longer = F.greatest(F.length(text), F.col("size"))
-    inside = F.contains(text, F.col("brand")) & (text != F.col("brand"))
-    close = 1 - F.abs(F.length(text) - F.col("size")) / longer >= match
-    hits = (hits.filter(inside | close).withColumn("inside", inside)
-            .withColumn("edit_distance", F.levenshtein(text, F.col("brand"))))
+    pairs = (_candidate_keys(candidates, brands, match)
+             .join(_brand_keys(brands, match), ["tag", "text"])
+             .withColumn("inside", F.contains(text, brand) & (gap > 0))
+             .filter(F.col("inside") | (1 - F.abs(gap) / longer >= match)))
+    # A brand inside a candidate is as many edits away as the candidate is longer. For others
+    # the distance is computed once, and only up to the limit.
+    limit = F.floor(longer * (1 - match) + 1e-9).cast("int")
+    distance = F.when(F.col("inside"), gap).otherwise(
+        F.call_function("levenshtein", text, brand, limit))
+    pairs = pairs.withColumn("edit_distance", explode_if(distance, lambda x: F.col("inside") | (
+        (x >= 0) & (1.0 - x / longer >= match))))
     similarity = 1.0 - F.col("edit_distance") / longer
-    hits = hits.withColumn("confidence", F.when(
-        F.col("inside"), F.greatest(similarity, F.lit(CONTAINS_CONFIDENCE))).otherwise(similarity))
+    confidence = F.when(F.col("inside"), F.greatest(similarity, F.lit(CONTAINS_CONFIDENCE))
+                        ).otherwise(similarity)
     kind = (F.when(F.col("via_leet"), "leet").when(F.col("via_part"), "embedded")
             .when(F.col("edit_distance") == 0, "exact")
             .when(F.col("inside"), "contains").otherwise("fuzzy"))
     best = F.min_by(
         F.struct("brand", "brand_label", "confidence", "edit_distance", kind.alias("match_type")),
         F.struct(-F.col("confidence"), "brand_order", "brand", "candidate_order"))
-    return (hits.filter(F.col("confidence") >= match)
+    return (pairs.withColumn("confidence", confidence)
             .groupBy("domain").agg(best.alias("_best")).select("domain", "_best.*"))
 
 

@@ -20,7 +20,7 @@ from domainsieve.params import DEFAULTS
 from domainsieve.plans import feed_path, query_path
 from domainsieve.registry.inputs import as_of, brands, brands_index, index, table
 from domainsieve.sources import json_files as jf, sinks, text as tx
-from domainsieve.sources.workdir import new_folder
+from domainsieve.sources.workdir import new_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -389,7 +389,7 @@ def t7(spark, sf):
 
 
 def t8(spark, sf):
-    v = verified(spark, sf)
+    v = written(verified(spark, sf), new_folder(spark, "verified"))
     added = dl.denylist_add(table(spark, sf, "denylist"),
                             v.filter("blocked").select("domain", fd.feed_comment().alias("comment")),
                             policy(spark, sf, upstream=False), as_of())

@@ -8,9 +8,10 @@ repeated job leaves the last good data in force.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from domainsieve.functions.literals import literal_table
+from domainsieve.sources.workdir import new_folder, written
 
 COMMIT_SCHEMA = "version long, rows long"
 
@@ -56,10 +57,11 @@ def dense_ids(df: DataFrame, key: str, start: int = 0, name: str = "id") -> Data
     """Add ids start+1, start+2, … in the order of (hash of key, key); key is unique in df.
 
     Rows are numbered inside 4096 hash buckets, then shifted by the sizes of the
-    buckets before. No task sees more than one bucket.
+    buckets before. No task sees more than one bucket. The rows are written to the
+    shared folder first, so sizes and numbers come from the same rows.
     """
-    from pyspark.sql import Window
     d = df.withColumn("_bucket", F.substring(F.md5(F.col(key).cast("string")), 1, 3))
+    d = written(d, new_folder(df.sparkSession, "ids"))
     sizes = d.groupBy("_bucket").count()
     # At most 4096 rows in this unpartitioned window.
     before = F.sum("count").over(Window.orderBy("_bucket").rowsBetween(
