@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from domainsieve.operators.lookup import lookup_join, small_or_shuffled
+from domainsieve.operators.lookup import lookup_join
 from domainsieve.params import DEFAULTS, Params
 
 _DAY = 86_400_000_000
@@ -33,10 +33,8 @@ def enrich_asn(d: DataFrame, domain_asn: DataFrame, bad_asns: DataFrame, as_of:
                params: Params = DEFAULTS) -> DataFrame:
     """Add asn and asn_flagged from lookups that are not older than the cache time."""
     fresh = domain_asn.filter(whole_days(F.col("fetched_at"), as_of) < params.asn_cache_days)
-    bad = small_or_shuffled(bad_asns.select(F.col("asn").alias("_bad")))
-    known = (fresh.select(F.col("domain").alias("_d"), "asn").filter("asn IS NOT NULL")
-             .join(bad, F.col("asn") == F.col("_bad"), "left")
-             .select("_d", "asn", F.col("_bad").isNotNull().alias("asn_flagged")))
+    known = lookup_join(fresh.select("domain", "asn").filter("asn IS NOT NULL"), bad_asns, "asn", "asn",
+                        [F.lit(True).alias("asn_flagged")]).withColumnRenamed("domain", "_d")
     return (d.join(known, F.col("domain") == F.col("_d"), "left").drop("_d")
             .withColumn("asn_flagged", F.coalesce("asn_flagged", F.lit(False))))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from domainsieve.operators import admission as adm
 from domainsieve.sources.text import read_query_log
 from domainsieve.streaming.admission import admit_stream, use_rocksdb
-from domainsieve.streaming.query_path import disposition_stream, process_batch
+from domainsieve.streaming.query_path import compact_seen, disposition_stream, process_batch, seen_names
 from test_decisions import tables  # noqa: F401  (fixture)
 
 START = datetime(2024, 1, 1)
@@ -56,3 +56,12 @@ def test_disposition_stream(spark, tmp_path, tables):  # noqa: F811
     before = sorted(map(str, spark.read.parquet(f"{out}/decided").collect()))
     process_batch(again, 1, out, policy, lambda s: tables, as_of)
     assert sorted(map(str, spark.read.parquet(f"{out}/decided").collect())) == before
+
+    # After compaction the same names count as seen.
+    before = {r["domain"] for r in seen_names(spark, out).collect()}
+    assert compact_seen(spark, out, as_of) == len(before) == 4
+    assert {r["domain"] for r in seen_names(spark, out).collect()} == before
+    (log / "3.log").write_text("\n".join(map(line, ["quiet.org", "later.org"])))
+    run()
+    assert spark.read.parquet(f"{out}/decided").filter("domain = 'later.org'").count() == 1
+    assert spark.read.parquet(f"{out}/decided").count() == 5
