@@ -508,7 +508,8 @@ def queries() -> dict[str, Query]:
         "F2_character_mix": lexical_query("mix.*"),
         "F3_repeats": lexical_query("repeats.*"),
         "F4_hint_words": lexical_query("dictionary_word_count"),
-        "F5_entropy": lexical_query(rounded("entropy.shannon"), rounded("entropy.normalized")),
+        "F5_entropy": lambda s, f: lexical_query(
+            rounded("entropy.shannon"), rounded("entropy.normalized"))(s, f),
         "F6_tld": lexical_query("tld.*"),
         "F7_digits": lexical_query("digits.*"),
         "F8_hyphens": lexical_query("hyphens.*"),

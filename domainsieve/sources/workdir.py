@@ -7,14 +7,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """Folder named by spark.checkpoint.dir.
+
+    Where that is unset, a local master gets one temporary folder per application, as in
+    tests: all of its tasks run on this machine. On a cluster it is an error, since no folder
+    of one machine reaches the executors.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="domainsieve-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="domainsieve-")
+    return _local[app]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -25,3 +37,10 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """df written as a table and read back: computed once, short lineage, safe on executor loss."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that new_folder named, once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
