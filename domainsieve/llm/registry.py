@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from domainsieve.llm import bpe, packing
+from domainsieve.llm import bpe, packing, warc
 
 
 def queries():
     return {
         "op2_packing": packing.op2_packing,
+        "op6_warc": warc.op6_warc,
         "op7_byte_bpe": bpe.op7_byte_bpe,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op6_warc": warc.ORACLE}
