@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from domainsieve.llm import bpe, packing, warc
+from domainsieve.llm import bpe, exact_dedup, packing, warc
 
 
 def queries():
@@ -10,8 +10,9 @@ def queries():
         "op2_packing": packing.op2_packing,
         "op6_warc": warc.op6_warc,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_warc": warc.ORACLE}
+    return {"op6_warc": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
