@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from domainsieve.llm import bpe, exact_dedup, packing, warc
+from domainsieve.llm import bpe, exact_dedup, langid, packing, warc
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op2_packing": packing.op2_packing,
         "op6_warc": warc.op6_warc,
         "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op8_language_id": langid.op8_language_id,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
