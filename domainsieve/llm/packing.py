@@ -25,9 +25,9 @@ from domainsieve.llm.common import Steps, buckets_for, ranked
 
 SEQUENCE = 4096
 # Words that a worker remembers; then it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 # Bytes of text that a worker tokenises at once.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 8 << 20
 
 
 class WordTokenizer:
