@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from domainsieve.llm import bpe, exact_dedup, langid, packing, warc
+from domainsieve.llm import bpe, exact_dedup, langid, minhash, packing, warc
 
 
 def queries():
     return {
         "op2_packing": packing.op2_packing,
+        "op3_minhash": minhash.op3_minhash,
         "op6_warc": warc.op6_warc,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_language_id": langid.op8_language_id,
