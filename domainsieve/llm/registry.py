@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from domainsieve.llm import bpe, exact_dedup, langid, minhash, packing, warc
+from domainsieve.llm import bpe, exact_dedup, langid, minhash, packing, rp_forest, warc
 
 
 def queries():
     return {
+        "op1_rp_forest": rp_forest.op1_rp_forest,
         "op2_packing": packing.op2_packing,
         "op3_minhash": minhash.op3_minhash,
         "op6_warc": warc.op6_warc,
