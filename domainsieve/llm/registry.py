@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from domainsieve.llm import bpe, exact_dedup, langid, minhash, packing, rp_forest, warc
+from domainsieve.llm import bpe, exact_dedup, langid, line_runs, minhash, packing, rp_forest, sharding, warc
 
 
 def queries():
@@ -10,12 +10,15 @@ def queries():
         "op1_rp_forest": rp_forest.op1_rp_forest,
         "op2_packing": packing.op2_packing,
         "op3_minhash": minhash.op3_minhash,
+        "op4_sharding": sharding.op4_sharding,
         "op6_warc": warc.op6_warc,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_language_id": langid.op8_language_id,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_line_runs": line_runs.op10_line_runs,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_warc": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op6_warc": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE,
+            "op10_line_runs": line_runs.ORACLE}
