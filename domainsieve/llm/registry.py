@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from domainsieve.llm import bpe, exact_dedup, langid, line_runs, minhash, packing, rp_forest, sharding, warc
+from domainsieve.llm import bpe, exact_dedup, langid, line_runs, minhash, packing, paragraphs, rp_forest, sharding, warc
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_packing": packing.op2_packing,
         "op3_minhash": minhash.op3_minhash,
         "op4_sharding": sharding.op4_sharding,
+        "op5_substring_dedup": paragraphs.op5_substring_dedup,
         "op6_warc": warc.op6_warc,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_language_id": langid.op8_language_id,
