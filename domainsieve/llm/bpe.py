@@ -24,6 +24,8 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from domainsieve.llm.common import with_fields
+
 # Units longer than this many bytes are merged one by one.
 BATCH_BYTES = 64
 # Units that a worker remembers; then it starts afresh.
@@ -256,8 +258,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", pattern: str = public
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
     kept = docs.drop("ids")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, ids array<int>")
+    return kept.mapInArrow(run, with_fields(kept, {"ids": "array<int>"}))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -271,8 +272,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                                              names=[*batch.schema.names, "decoded"])
 
     kept = rows.drop("decoded")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, decoded binary")
+    return kept.mapInArrow(run, with_fields(kept, {"decoded": "binary"}))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from domainsieve.sources.workdir import new_folder, removed, written
 
@@ -130,3 +130,9 @@ def components(edges: DataFrame, steps: Steps) -> DataFrame:
 
 def is_true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
+
+
+def with_fields(df: DataFrame, more: dict[str, str]) -> T.StructType:
+    """The schema of df with further columns, for functions over Arrow batches."""
+    return T.StructType([*df.schema.fields, *[
+        T.StructField(name, T.StructType.fromDDL(f"x {kind}")["x"].dataType) for name, kind in more.items()]])

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from domainsieve.llm.common import Steps, hot_join
 from domainsieve.operators.lookup import small_or_shuffled
@@ -129,11 +129,16 @@ def answers(messages: DataFrame) -> DataFrame:
         run, "sender long, owner int, bitmap binary")
 
 
+def _blank_free() -> Column:
+    return F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", "")
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256.
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256, code_points, like_kept.
 
     Texts are equal when equal without white space; null counts as empty. The row with the most
     code points stays, then the smallest doc_id (null last); of repeated rows one is kept.
+    like_kept: doc_id and code points are those of the row that stays.
     """
     spark = docs.sparkSession
     steps = Steps(spark, "exact-dedup")
@@ -156,8 +161,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"),
                        "doc_id", "rid")).alias("best"), F.count("*").alias("group_size")), "found")
     # Byte by byte: the texts themselves are grouping keys, so equal ones meet already in the map task.
-    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", "")
-    texts = docs.select(text.alias("norm")).withColumn("sha", F.sha2("norm", 256))
+    texts = docs.select(_blank_free().alias("norm")).withColumn("sha", F.sha2("norm", 256))
     several = found.filter("group_size > 1").select("sha")
     compared = (texts.join(small_or_shuffled(several), "sha", "left_semi").groupBy("sha", "norm").agg(F.count("*").alias("n"))
                 .groupBy("sha").agg(F.count("*").alias("texts"), F.sum("n").alias("rows")))
@@ -168,15 +172,39 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     checked = steps.save(checked, "checked")
     of_suspects = hot_join(suspects, checked, "sha", "group_size", total).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
-        (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"))
+        (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"),
+        F.col("n_cp").alias("code_points"),
+        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_cp") == -F.col("best.less"))).alias("like_kept"))
     single = marked.filter("NOT suspect").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+        F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), F.col("n_cp").alias("code_points"),
+        F.lit(True).alias("like_kept"))
     return of_suspects.unionByName(single)
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, one per group of equal texts; columns as they are."""
+    steps = Steps(docs.sparkSession, "exact-distinct")
+
+    def key(doc_id: Column, sha: Column, points: Column) -> Column:
+        return F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("none")), sha, points.cast("string"))
+
+    marks = steps.save(exact_groups(docs).filter("NOT kept").select(
+        key(F.col("doc_id"), F.col("text_sha256"), F.col("code_points")).alias("__key"), "like_kept").distinct(), "marks")
+    gone = marks.filter("NOT like_kept").select("__key")
+    keyed = docs.withColumn("__key", key(F.col("doc_id").cast("long"), F.sha2(_blank_free(), 256), F.length(
+        F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    left = keyed.join(small_or_shuffled(gone), "__key", "left_anti")
+    # Rows that cannot be told from the one that stays: all but one of them go.
+    repeated = marks.filter("like_kept").select("__key")
+    if repeated.limit(1).count():
+        one = left.join(repeated, "__key", "left_semi").dropDuplicates(["__key"])
+        left = left.join(repeated, "__key", "left_anti").unionByName(one)
+    return left.drop("__key")
+
+
 def op9_exact_dedup(spark, sf_dir):
-    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("code_points", "like_kept")
 
 
 ORACLE = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from domainsieve.llm.common import is_true
+from domainsieve.llm.common import is_true, with_fields
 
 DIMENSIONS = 1 << 14
 CLUSTERS = 4
@@ -162,39 +162,39 @@ def learn(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mo
     return Model(idf, np.concatenate(parts), [r.lang for r, p in zip(rows, parts) for _ in p], usual)
 
 
-def predict(docs: DataFrame, model: Model, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """docs with lang_pred, score (cosine to the nearest centroid) and rejected.
+def predict(docs: DataFrame, model: Model, reject_below: float = REJECT_BELOW,
+            names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """docs with lang_pred, score (cosine to the nearest centroid) and rejected, or other `names`.
 
     A text that is null or has no letter is `und`, scored 0 and rejected; so is every text when
     the model knows no language. Of equal cosines the first language by name wins. Columns of
     these names in docs are replaced; all others stay.
     """
-    kept = docs.drop("lang_pred", "score", "rejected")
+    kept = docs.drop(*names)
     langs, idf, centroids, usual = model.langs, model.idf, model.centroids, model.usual
 
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
-            names, scores, out = [], [], []
+            found, scores, out = [], [], []
             for texts in _texts(column):
                 known = [i for i, t in enumerate(texts) if t is not None and langs and _LETTER(t)]
-                name, score, far = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
+                lang, score, far = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
                 if known:
                     cos = weighted(np.stack([counts(texts[i]) for i in known]), idf) @ centroids.T
                     best = np.argmax(cos, axis=1)
                     for i, b, row in zip(known, best.tolist(), cos):
                         c = min(1.0, max(0.0, float(row[b])))
-                        name[i], score[i] = langs[b], c
+                        lang[i], score[i] = langs[b], c
                         far[i] = c < reject_below * usual[int(len(texts[i].encode())).bit_length() - 1]
-                names += name
+                found += lang
                 scores += score
                 out += far
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()),
-                 pa.array(out, pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
+                [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64()),
+                 pa.array(out, pa.bool_())], names=[*batch.schema.names, *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return kept.mapInArrow(run, with_fields(kept, dict(zip(names, ("string", "double", "boolean")))))
 
 
 def op8_language_id(spark, sf_dir):

@@ -219,5 +219,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its near-duplicate group, columns as they
+    are. Rows without doc_id stay; rows that share a doc_id are one document and stay or go
+    together."""
+    steps = Steps(docs.sparkSession, "minhash-distinct")
+    groups = near_duplicates(docs, words, percent)
+    gone = steps.save(groups.filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(small_or_shuffled(gone), docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+
+
 def op3_minhash(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
