@@ -117,8 +117,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     filled = numbered.select("doc_id", "size", "text_crc32", F.size(F.filter(
         F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("nth"))).alias("shard"))
     every = steps.save(placed.filter("shard IS NOT NULL").unionByName(filled), "placed")
+    # Other hash buckets than those that filled the shards, else a shard's rows share one bucket.
     # The offsets are shards * buckets rows.
-    return ranked(every, ["shard"], ["doc_id", "text_crc32"], "slot", buckets, broadcast=shards * buckets < 200_000).select(
+    return ranked(every, ["shard"], ["text_crc32", "doc_id"], "slot", buckets, broadcast=shards * buckets < 200_000).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
