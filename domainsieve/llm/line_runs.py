@@ -98,7 +98,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
 
 
 def without_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """docs with text_kept, n_lines and n_kept.
+    """docs with text_kept, n_lines and n_kept; columns of these names are replaced, others stay.
 
     A line is deleted when it lies in a run of at least min_lines lines that an earlier place of
     the corpus has too. Rows with the same doc_id and text are one document; a row without a
@@ -107,20 +107,20 @@ def without_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFr
     steps = Steps(docs.sparkSession, "line-runs")
     lines = steps.save(line_keys(docs), "lines")
     starts, _ = repeated_starts(lines, min_lines, steps)
-    cut = starts.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("i").alias("_starts"))
+    cut = starts.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set("i").alias("__starts"))
     text = F.col("text").cast("string")
-    d = docs.withColumns({"_text": text, "_hash": F.xxhash64(text)})
-    joined = d.join(cut, (d.doc_id.cast("long") == cut._id) & (F.col("_hash") == cut._h), "left")
-    all_lines = F.split("_text", "\n")
-    gone = F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (min_lines - 1))))
+    d = docs.drop("text_kept", "n_lines", "n_kept").withColumns({"__text": text, "__hash": F.xxhash64(text)})
+    joined = d.join(cut, (d["doc_id"].cast("long") == cut["__id"]) & (d["__hash"] == cut["__h"]), "left")
+    all_lines = F.split("__text", "\n")
+    gone = F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (min_lines - 1))))
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone)
-    n = F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.size(all_lines))
-    some = F.col("_starts").isNotNull()
-    return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("text_kept", "n_lines", "n_kept")],
-        F.when(some, F.array_join(F.transform(stay, lambda k: F.get(all_lines, k)), "\n"))
-        .otherwise(F.col("_text")).alias("text_kept"),
-        n.cast("long").alias("n_lines"), F.when(some, F.size(stay)).otherwise(n).cast("long").alias("n_kept"))
+    n = F.when(F.col("__text").isNull(), F.lit(0)).otherwise(F.size(all_lines))
+    some = F.col("__starts").isNotNull()
+    return joined.withColumns({
+        "text_kept": F.when(some, F.array_join(F.transform(stay, lambda k: F.get(all_lines, k)), "\n"))
+        .otherwise(F.col("__text")),
+        "n_lines": n.cast("long"), "n_kept": F.when(some, F.size(stay)).otherwise(n).cast("long"),
+    }).drop("__text", "__hash", "__id", "__h", "__starts")
 
 
 def op10_line_runs(spark, sf_dir):
