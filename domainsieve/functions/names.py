@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from domainsieve.fixed import INTERNAL_SUFFIXES
+from domainsieve.fixed import NEVER_BLOCK_SUFFIXES
 
 _SPACE = " \t\n\r\f\x0b"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -48,7 +48,7 @@ def ends_with_any(c: Column, suffixes) -> Column:
 
 
 def is_internal(c: Column) -> Column:
-    return ends_with_any(c, INTERNAL_SUFFIXES)
+    return ends_with_any(c, NEVER_BLOCK_SUFFIXES)
 
 
 def is_ip(c: Column) -> Column:

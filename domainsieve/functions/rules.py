@@ -6,13 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from domainsieve.fixed import RULE_REASONS
+from domainsieve.functions.literals import filled
 from domainsieve.params import DEFAULTS, Params
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-
-
 def rule_signals(feed_hit: Column, dga: Column, entropy: Column, brand_label: Column,
                  brand_type: Column, risky_tld: Column, digit_share: Column,
                  hyphen_count: Column, punycode: Column, provider: Column,
@@ -22,27 +20,23 @@ def rule_signals(feed_hit: Column, dga: Column, entropy: Column, brand_label: Co
     """Signals in report order. Null inputs mean "no signal"."""
     p = params
     failed = F.coalesce(tls_failed, F.lit(False))
+    t = RULE_REASONS
     return [
-        (feed_hit, p.feed_hit_weight, F.lit("URLhaus threat intelligence hit")),
-        (dga >= p.dga_limit, p.dga_weight, F.lit("High DGA score")),
-        (brand_type != "official", p.brand_weight, _text("Brand similarity to ", brand_label)),
-        (entropy >= p.entropy_limit, p.entropy_weight, F.lit("High entropy")),
-        (risky_tld, p.tld_weight, F.lit("Suspicious TLD")),
-        (digit_share > 0.20, p.digits_weight, F.lit("Excess digits")),
-        (hyphen_count >= 2, p.hyphens_weight, F.lit("Excess hyphens")),
-        (punycode, p.punycode_weight, F.lit("Punycode domain")),
-        (asn_flagged, p.asn_weight,
-         _text("Hosted in Spamhaus DROP-listed network (AS", asn.cast("string"), ")")),
-        (failed, p.tls_invalid_weight,
-         _text("TLS certificate failed verification (", F.coalesce(tls_reason, F.lit("None")), ")")),
-        (~failed & (cert_age <= p.tls_new_days), p.tls_new_weight,
-         _text("TLS certificate issued ", cert_age.cast("string"), " days ago")),
-        (provider.isNotNull(), p.hosting_weight,
-         _text("User content on shared-hosting provider ", provider)),
-        (age_days <= p.age_new_days, p.age_new_weight,
-         _text("Newly registered domain (", age_days.cast("string"), " days old)")),
+        (feed_hit, p.feed_hit_weight, filled(t["feed"])),
+        (dga >= p.dga_limit, p.dga_weight, filled(t["dga"])),
+        (brand_type != "official", p.brand_weight, filled(t["brand"], brand_label)),
+        (entropy >= p.entropy_limit, p.entropy_weight, filled(t["entropy"])),
+        (risky_tld, p.tld_weight, filled(t["tld"])),
+        (digit_share > 0.20, p.digits_weight, filled(t["digits"])),
+        (hyphen_count >= 2, p.hyphens_weight, filled(t["hyphens"])),
+        (punycode, p.punycode_weight, filled(t["punycode"])),
+        (asn_flagged, p.asn_weight, filled(t["network"], asn)),
+        (failed, p.tls_invalid_weight, filled(t["tls"], F.coalesce(tls_reason, F.lit("None")))),
+        (~failed & (cert_age <= p.tls_new_days), p.tls_new_weight, filled(t["new_tls"], cert_age)),
+        (provider.isNotNull(), p.hosting_weight, filled(t["hosting"], provider)),
+        (age_days <= p.age_new_days, p.age_new_weight, filled(t["new_name"], age_days)),
         ((age_days > p.age_new_days) & (age_days <= p.age_recent_days), p.age_recent_weight,
-         _text("Recently registered domain (", age_days.cast("string"), " days old)")),
+         filled(t["recent_name"], age_days)),
     ]
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+from urllib.parse import urlsplit
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from domainsieve.fixed import NEVER_BLOCK_NAMES, NEVER_BLOCK_SUFFIXES, UPSTREAM_HOSTS
+from domainsieve.fixed import DEFAULT_FEEDS, NEVER_BLOCK_NAMES, NEVER_BLOCK_SUFFIXES, SERVICE_HOSTS
 from domainsieve.functions.literals import literal_table
 from domainsieve.operators.lookup import BROADCAST_ROWS, small_or_shuffled
 from domainsieve.operators.names import LABELS, TailIndex, match_tails, tail_index
@@ -46,9 +50,15 @@ def skip_policy(d: DataFrame, policy: TailIndex) -> DataFrame:
     return with_never_block(d, policy).filter(~F.col("never_block")).drop("never_block")
 
 
-def query_policy(allowlist: DataFrame, depth: int | None = None) -> TailIndex:
+def upstream_hosts(feeds=DEFAULT_FEEDS) -> tuple[str, ...]:
+    """Hosts that the service itself asks: fixed ones, and those of the feeds' addresses."""
+    hosts = [urlsplit(f.url).hostname for f in feeds if f.url]
+    return tuple(dict.fromkeys([*SERVICE_HOSTS, *[h.rstrip(".") for h in hosts if h]]))
+
+
+def query_policy(allowlist: DataFrame, depth: int | None = None, feeds=DEFAULT_FEEDS) -> TailIndex:
     """Policy of the query path: never-block names and the service's own upstream hosts."""
-    return policy_index(allowlist, upstream=UPSTREAM_HOSTS, depth=depth)
+    return policy_index(allowlist, upstream=upstream_hosts(feeds), depth=depth)
 
 
 # -- first occurrences --------------------------------------------------------
@@ -120,29 +130,40 @@ def _fold(d: DataFrame, last: DataFrame | None, ttl: int) -> DataFrame:
     else:
         times = times.join(last, "domain", "left")
 
-    def step(acc, t):
-        late = acc["last"].isNull() | (t > acc["last"] + ttl)
-        return F.when(late, F.struct(
-            F.concat(acc["taken"], F.array(t)).alias("taken"), t.alias("last"))).otherwise(acc)
+    return times.select("domain", F.explode(_admitted(ttl)("times", "last")).alias("t")).select(
+        "domain", F.timestamp_micros("t").alias("ts"))
+
+
+def _admitted(ttl: int):
+    """Admitted ones of a name's sorted times, by a search for the next late enough time."""
+    @F.pandas_udf("array<long>")
+    def admitted(times: pd.Series, last: pd.Series) -> pd.Series:
+        out = []
+        for row, before in zip(times, last):
+            at = 0 if pd.isna(before) else bisect.bisect_right(row, before + ttl)
+            taken = []
+            while at < len(row):
+                taken.append(row[at])
+                at = bisect.bisect_right(row, row[at] + ttl, at + 1)
+            out.append(taken)
+        return pd.Series(out)
 
-    start = F.struct(F.array().cast("array<bigint>").alias("taken"), F.col("last").alias("last"))
-    return times.select("domain", F.explode(F.aggregate("times", start, step, lambda a: a["taken"]))
-                        .alias("t")).select("domain", F.timestamp_micros("t").alias("ts"))
+    return admitted
 
 
 def _replay_slices(d: DataFrame, start: DataFrame, ttl: int, folder: str) -> DataFrame:
     """Admissions of hot names, one slice after the other; each slice is written once."""
     low, high = d.agg(F.min("t"), F.max("t")).first()
-    state, taken = start, None
+    state = start
     for i, begin in enumerate(range(low, high + 1, max(ttl, 1))):
         part = d.filter((F.col("t") >= begin) & (F.col("t") < begin + max(ttl, 1)))
         keys = small_or_shuffled(_salted(state), size_of=start, rows=BROADCAST_ROWS // _SALTS)
         found = (part.join(keys, ["domain", "_salt"])
                  .filter(F.col("last").isNull() | (F.col("t") > F.col("last") + ttl))
                  .groupBy("domain").agg(F.min("t").alias("t")))
-        found = written(found, f"{folder}/slice={i}")
-        taken = found if taken is None else taken.unionByName(found)
-        latest = taken.groupBy("domain").agg(F.max("t").alias("t"))
-        state = start.join(latest, "domain", "left").select(
-            "domain", F.coalesce("t", "last").alias("last"))
+        found = written(found, f"{folder}/taken/slice={i}")
+        # A stored state: each slice reads the one before, not all of them.
+        state = written(state.join(found, "domain", "left").select(
+            "domain", F.coalesce("t", "last").alias("last")), f"{folder}/state/{i}")
+    taken = d.sparkSession.read.schema("domain string, t long").parquet(f"{folder}/taken")
     return taken.select("domain", F.timestamp_micros("t").alias("ts"))

@@ -29,7 +29,7 @@ def denylist_add(denylist: DataFrame, d: DataFrame, policy: TailIndex, as_of: Co
 
     A name given twice is added once, with its smallest comment.
     """
-    d = d.select(F.lower("domain").alias("domain"), "comment")
+    d = d.select(F.rtrim(F.lower("domain"), F.lit(".")).alias("domain"), "comment")
     wanted = skip_policy(d, policy).groupBy("domain").agg(F.min("comment").alias("comment"))
     new = wanted.join(denylist.select("domain"), "domain", "left_anti")
     at = F.unix_timestamp(as_of.cast("timestamp"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from domainsieve.fixed import TRUSTED_FEED
-from domainsieve.functions.literals import literal_table
+from domainsieve.fixed import FEED_REASONS, TRUSTED_FEED
+from domainsieve.functions.literals import filled, literal_table
 from domainsieve.params import DEFAULTS, Params
 
 
@@ -65,19 +65,11 @@ def with_outcome(d: DataFrame, params: Params = DEFAULTS) -> DataFrame:
                .when(feed_score_gate(params), "SCORE_BLOCK").otherwise("SCORE_SKIP"))
     d = d.withColumn("outcome", outcome)
     o = F.col("outcome")
-    text = (lambda *p: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in p]))
-    reason = (
-        F.when(o == "PROVIDER_SELF", text(
-            "Feed ", feed, " hit, but ", name,
-            " is the shared-hosting provider itself — not blocked"))
-        .when(o == "HOSTED_BLOCK", text(
-            "Feed ", feed, " hit on shared-hosting provider ", F.col("provider"),
-            " — blocked full hostname"))
-        .when(o == "POPULAR_SKIP", text(
-            "Feed ", feed, " hit, but apex ", F.col("apex"), " popular (rank=",
-            F.col("rank").cast("string"), ") — not blocked"))
-        .otherwise(text("Feed ", feed, " rule-based: score=", score.cast("string"),
-                        " urlhaus=", F.initcap(trusted.cast("string")))))
+    said = {"PROVIDER_SELF": (name,), "HOSTED_BLOCK": (F.col("provider"),),
+            "POPULAR_SKIP": (F.col("apex"), F.col("rank"))}
+    reason = filled(FEED_REASONS["SCORED"], feed, score, F.initcap(trusted.cast("string")))
+    for kind, parts in said.items():
+        reason = F.when(o == kind, filled(FEED_REASONS[kind], feed, *parts)).otherwise(reason)
     scored = F.when(trusted, F.lit(1.0)).otherwise(F.least(score / 100, F.lit(1.0)))
     return d.withColumns({
         "blocked": o.isin("HOSTED_BLOCK", "SCORE_BLOCK"),
@@ -87,7 +79,7 @@ def with_outcome(d: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 
 def feed_comment() -> Column:
-    return F.concat(F.lit("TI:"), F.col("category"), F.lit(":"), F.substring("feed", 1, 30))
+    return F.concat(F.lit("TI:"), F.col("category"), F.lit(":"), F.col("feed"))
 
 
 def sync_summary(verified: DataFrame, listed: DataFrame, added: DataFrame,

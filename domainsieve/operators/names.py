@@ -1,7 +1,8 @@
 """Registrable names, hosting providers and host labels from public suffix rules.
 
 Every name is matched against the rules with one broadcast hash join per label
-depth. No shuffle is needed and the input columns stay in place.
+depth. No shuffle is needed and the input columns stay in place. A table too large
+for that is met by one join of distinct tails.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from domainsieve.fixed import SEED_HOSTING
 from domainsieve.functions.literals import literal_table
 from domainsieve.functions.names import IPV4, label_count
-from domainsieve.operators.lookup import BROADCAST_ROWS
+from domainsieve.operators.lookup import BROADCAST_ROWS, HOT_SHARE
+from domainsieve.sources.workdir import new_folder, written
 
 # Bits of a rule entry.
 ICANN, ICANN_WILD, ICANN_EXCEPT = 1, 2, 4
@@ -26,6 +28,7 @@ class TailIndex:
 
     table: DataFrame  # base string, mask int; unique in base
     depth: int        # labels in the longest base
+    large: bool = False  # too large to be broadcast
 
 
 def tail_index(entries: DataFrame, depth: int | None = None) -> TailIndex:
@@ -35,7 +38,7 @@ def tail_index(entries: DataFrame, depth: int | None = None) -> TailIndex:
     if depth is None:
         rows, depth = entries.agg(F.count("*"), F.max(label_count(F.col("base")))).first()
         if rows > BROADCAST_ROWS:
-            return TailIndex(entries.groupBy("base").agg(mask), depth)
+            return TailIndex(entries.groupBy("base").agg(mask), depth, large=True)
     # Few rows: one partition spares a shuffle.
     return TailIndex(F.broadcast(entries.coalesce(1).groupBy("base").agg(mask)), depth or 0)
 
@@ -45,6 +48,8 @@ LABELS = "(length(domain) - length(replace(domain, '.', '')) + 1)"
 
 def match_tails(d: DataFrame, index: TailIndex, prefix: str = "_m") -> DataFrame:
     """Add the mask of each tail of `domain` as columns prefix1, prefix2, …"""
+    if index.large and index.depth:
+        return _match_by_tail(d, index, prefix)
     for k in range(1, index.depth + 1):
         t = index.table.selectExpr("base AS _base", f"mask AS {prefix}{k}")
         tail = f"if({LABELS} >= {k}, substring_index(domain, '.', -{k}), null) = _base"
@@ -52,6 +57,29 @@ def match_tails(d: DataFrame, index: TailIndex, prefix: str = "_m") -> DataFrame
     return d
 
 
+def _match_by_tail(d: DataFrame, index: TailIndex, prefix: str) -> DataFrame:
+    """match_tails against a large table: one join whatever the depth.
+
+    Distinct tails are looked up, so that a tail of very many names is one row there. On the
+    way back the tails of more than one in HOT_SHARE rows are broadcast, the others shuffled.
+    """
+    folder = new_folder(d.sparkSession, "tails")
+    ks = F.expr(f"sequence(1, least({LABELS}, {index.depth}))")
+    names = d.filter("domain IS NOT NULL").select("domain").distinct()
+    tails = written(names.select("domain", F.explode(ks).alias("k")).withColumn(
+        "tail", F.expr("substring_index(domain, '.', -k)")), f"{folder}/tails")
+    found = written(tails.groupBy("tail").count().join(index.table.withColumnRenamed("base", "tail"), "tail"),
+                    f"{folder}/found")
+    bound = tails.count() // HOT_SHARE
+    hot = F.broadcast(found.filter(F.col("count") > bound))
+    cold = found.filter(F.col("count") <= bound)
+    hits = tails.join(hot, "tail").unionByName(
+        tails.join(hot.select("tail"), "tail", "left_anti").join(cold, "tail"))
+    masks = hits.groupBy(F.col("domain").alias("_name")).agg(*[
+        F.max(F.when(F.col("k") == k, F.col("mask"))).alias(f"{prefix}{k}") for k in range(1, index.depth + 1)])
+    return d.join(masks, F.col("domain") == F.col("_name"), "left").drop("_name")
+
+
 def suffix_index(rules: DataFrame, hosting: DataFrame | None = None,
                  depth: int | None = None) -> TailIndex:
     """Index of suffix rules (see read_suffix_rules) and hosting suffixes."""

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from domainsieve.fixed import JOB_INTERVALS
 from domainsieve.functions.literals import literal_table
 from domainsieve.params import DEFAULTS, Params
+from domainsieve.sources.sinks import utc_day
 
 VERDICT_SCHEMA = """id long, domain string, category string, confidence double, reason string,
  blocked boolean, classified_at timestamp, entropy double, dga_score double, rule_score int,
@@ -96,7 +97,7 @@ def retain(tables: dict[str, DataFrame], as_of: Column,
         if name not in RETAINED:
             return df
         if "day" in df.columns:
-            df = df.filter(F.col("day") >= F.to_date(cutoff))
+            df = df.filter(F.col("day") >= utc_day(cutoff))
         return df.filter(F.col(RETAINED[name]) >= cutoff)
 
     return {name: keep(name, df) for name, df in tables.items()}

@@ -39,6 +39,8 @@ def verify_feed(listed: DataFrame, feeds, tables: FeedTables,
     table = feed_table(listed.sparkSession, feeds)
     new = first_feed_wins(new_feed_domains(listed, tables.threats), table)
     n = popularity_rank(with_name_keys(new, tables.index), tables.popular, "apex")
+    # Brand search and the join of its result both read the names: they are made once.
+    n = written(n, new_folder(n.sparkSession, "new-names"))
     to_score = ~provider_self_guard() & ~hosted_content_block() & ~popular_apex_guard()
     n = with_brand_match(lexical_features(n, params), tables.brands, params, only=to_score)
     n = with_rules(n, params, feed_hit=is_trusted(F.col("feed")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from domainsieve.functions.names import clean_name
 from domainsieve.operators.brands import BrandIndex, with_brand_match
+from domainsieve.operators.denylist import denylist_add, group_assign, listed_ids
 from domainsieve.operators.enrich import enrich_age, enrich_asn, enrich_tls
 from domainsieve.operators.features import lexical_features, with_rules
 from domainsieve.operators.names import TailIndex, with_name_keys
@@ -15,6 +16,7 @@ from domainsieve.operators.queries import (
     blocked_apex_join, outside_provider, popularity_allow, rule_prefilter, subdomain_comment)
 from domainsieve.operators.verdicts import evidence, scoring_requests, verdict_columns
 from domainsieve.params import DEFAULTS, Params
+from domainsieve.sources.workdir import new_folder, written
 
 _NO_TLS = "struct<issuer:string,san_count:int,verify_failed:boolean,fail_reason:string,not_before:timestamp,cert_age_days:int>"
 
@@ -49,6 +51,8 @@ def dispositions(d: DataFrame, tables: QueryTables, as_of: Column,
     n = blocked_apex_join(n, tables.classifications)
     n = popularity_allow(n, tables.popular, tables.threats)
     n = n.withColumn("provider", outside_provider())
+    # Brand search and the join of its result both read the names: they are made once.
+    n = written(n, new_folder(n.sparkSession, "routed"))
     open_names = ~F.col("apex_blocked") & ~F.col("popular_allowed")
     n = with_brand_match(lexical_features(n, params), tables.brands, params, only=open_names)
     n = with_rules(n, params, provider=F.col("provider"), name="first_rules")
@@ -100,3 +104,12 @@ def subdomain_blocks(decided: DataFrame) -> DataFrame:
     """(domain, comment) of route SUBDOMAIN_BLOCK."""
     return decided.filter("route = 'SUBDOMAIN_BLOCK'").select(
         "domain", subdomain_comment().alias("comment"))
+
+
+def block_names(blocks: DataFrame, denylist: DataFrame, mapping: DataFrame, group: int, policy: TailIndex,
+                as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Denylist and mapping after (domain, comment) rows were blocked; see block_comments and
+    subdomain_blocks. Names that the policy protects, or that are listed already, add no row."""
+    added = written(denylist_add(denylist, blocks, policy, as_of), new_folder(denylist.sparkSession, "blocked"))
+    denylist = denylist.unionByName(added.select(*denylist.columns))
+    return denylist, group_assign(mapping, listed_ids(denylist, blocks), group)

@@ -140,7 +140,13 @@ def s2(spark, sf):
 
 
 def s3(spark, sf):
-    return jf.parse_json_feed(table(spark, sf, "json_items"))
+    """The items land as files that hold one array each, of some hundred objects."""
+    items, path = table(spark, sf, "json_items"), new_folder(spark, "json-feed")
+    files = items.count() // 500 + 1
+    arrays = items.groupBy(F.pmod(F.xxhash64("url"), F.lit(files))).agg(
+        F.to_json(F.collect_list(F.struct("url"))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return jf.read_json_feed(spark, path)
 
 
 def s4(spark, sf):
@@ -180,6 +186,17 @@ def s9(spark, sf):
     return jf.parse_origin_asn(records)
 
 
+def s9_domains(spark, sf):
+    """Names with an address, and the network of the address."""
+    record = F.when(F.col("s_suppkey") % 3 == 0, '"| none |"').otherwise(
+        F.concat(F.lit('"'), "s_suppkey", F.lit(' | 10.0.0.0/16 | NL |"')))
+    origins = jf.parse_origin_asn(table(spark, sf, "supplier").select(
+        F.concat(F.lit("10.0."), "s_nationkey").alias("ip"), record.alias("txt"), F.col("s_suppkey").alias("record_no")))
+    addresses = table(spark, sf, "names").select(
+        "domain", F.concat(F.lit("10.0."), F.length("domain") % 30).alias("ip"), as_of().alias("fetched_at"))
+    return flat(jf.domain_asn(addresses, origins), "domain", "asn")
+
+
 def s10(spark, sf):
     return flat(domain_tls(spark, sf), "domain", F.col("info").isNotNull().alias("has_info"),
                 "info.issuer", "info.san_count", "info.verify_failed", "info.fail_reason",
@@ -203,8 +220,12 @@ def s12(spark, sf):
 
 
 def s13(spark, sf):
-    rows = sinks.log_rows(table(spark, sf, "names"), "domain", as_of(), "classified_at", start=1000)
-    return rows.select("domain", "id", us("classified_at").alias("classified_us"))
+    """Two appends, read back."""
+    path, names = new_folder(spark, "log"), table(spark, sf, "names")
+    even = F.length("domain") % 2 == 0
+    sinks.append_log(names.filter(even), path, "domain", as_of())
+    sinks.append_log(names.filter(~even), path, "domain", as_of())
+    return spark.read.parquet(path).select("domain", "id", us("classified_at").alias("classified_us"))
 
 
 # -- names, features, brands --------------------------------------------------
@@ -269,15 +290,14 @@ def q5(spark, sf):
     use_rocksdb(spark)
     folder = new_folder(spark, "admit-stream")
     d = times(table(spark, sf, "dns_events").select("domain", "ts"))
-    # Three files that arrive one after the other, in order of time.
+    # Three parts that land one after the other, in order of time; the stream goes on after each.
     part = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
     for i in range(3):
-        d.filter(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = (spark.readStream.schema("domain string, ts timestamp")
-              .option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
-    run = (admit_stream(stream, 7).writeStream.format("parquet").option("path", f"{folder}/out")
-           .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
-    run.awaitTermination()
+        d.filter(part == i).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("domain string, ts timestamp").parquet(f"{folder}/in")
+        run = (admit_stream(stream, 7).writeStream.format("parquet").option("path", f"{folder}/out")
+               .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+        run.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("domain", us("ts").alias("ts_us"))
 
 
@@ -308,22 +328,11 @@ def q11(spark, sf):
 
 
 def q12(spark, sf):
-    d = decided(spark, sf).filter("evidence IS NOT NULL")
-    text = ["rule_score", "severity", "tld", "suspicious_tld", "label_count", "length", "brand_match",
-            "brand_match_type", "is_punycode", "domain_age_days", "shared_hosting_provider", "asn",
-            "asn_flagged", "threat_intel"]
-    e = F.col("evidence")
-    return flat(d, "domain", *[F.get_json_object(e, f"$.{n}").alias(n) for n in text],
-                F.round(F.get_json_object(e, "$.digit_ratio").cast("double") * 100)
-                .cast("long").alias("digit_percent"),
-                F.size(F.json_object_keys(e)).cast("long").alias("fields"))
+    return decided(spark, sf).filter("evidence IS NOT NULL").select("domain", "evidence")
 
 
 def q13(spark, sf):
-    d = query_path.model_requests(decided(spark, sf))
-    lead = len(vd.REQUEST_TEMPLATE.split("{score}")[0])
-    opening = F.substr("prompt", F.lit(1), F.length(F.col("rule_score").cast("string")) + lead)
-    return flat(d, "domain", "rule_score", opening.alias("opening"))
+    return flat(query_path.model_requests(decided(spark, sf)))
 
 
 def q14(spark, sf):
@@ -405,6 +414,26 @@ def m1(spark, sf):
     return d.select("domain", "feed_name", us("added_at").alias("added_us"), us("last_seen").alias("last_seen_us"))
 
 
+def m1_caches(spark, sf):
+    """Lookup results and sightings of all names at one time, over what is known."""
+    names = table(spark, sf, "names")
+    found = names.select("domain", as_of().alias("created_at"), as_of().alias("fetched_at"))
+    r = st.upsert(times(table(spark, sf, "registrations")), found, keep_first=("created_at",))
+    seen = names.select("domain", as_of().alias("first_seen"), as_of().alias("last_seen"))
+    s = st.upsert(times(table(spark, sf, "seen")), seen, keep_first=("first_seen",))
+    part = (lambda d, name, a, b: d.select(F.lit(name).alias("part"), "domain", us(a).alias("first_us"),
+                                           us(b).alias("last_us")))
+    return part(r, "registration", "created_at", "fetched_at").union(part(s, "seen", "first_seen", "last_seen"))
+
+
+def m10_network(spark, sf):
+    names, out = table(spark, sf, "names"), None
+    for part, cache in (("network", times(table(spark, sf, "domain_asn"))), ("certificate", domain_tls(spark, sf))):
+        one = en.lookup_due(names, cache, as_of(), 2).select(F.lit(part).alias("part"), "domain")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def m3(spark, sf):
     return st.touch(times(table(spark, sf, "threats")), table(spark, sf, "listed"), as_of()).select(
         "domain", us("last_seen").alias("last_seen_us"))
@@ -421,10 +450,12 @@ def m6(spark, sf):
     kept = st.retain({"classifications": classifications(spark, sf),
                       "sync_log": times(table(spark, sf, "sync_log")),
                       "seen_domains": times(table(spark, sf, "seen")),
-                      "domain_asn": times(table(spark, sf, "domain_asn"))}, as_of(), RETENTION)
+                      "domain_asn": times(table(spark, sf, "domain_asn")),
+                      "domain_tls": domain_tls(spark, sf)}, as_of(), RETENTION)
     out = None
     for name, d in kept.items():
-        one = d.agg(F.lit(name).alias("part"), F.count("*").alias("kept"))
+        key = "id" if "id" in d.columns else "domain"
+        one = d.select(F.lit(name).alias("part"), F.col(key).cast("string").alias("key"))
         out = one if out is None else out.union(one)
     return out
 
@@ -457,6 +488,28 @@ def d2(spark, sf):
     return flat(dl.group_assign(table(spark, sf, "mapping"), ids, 5))
 
 
+def d2_new_group(spark, sf):
+    """The block group is missing and is made first."""
+    other = table(spark, sf, "nation").select(
+        (F.col("n_nationkey") + 10).cast("long").alias("id"), F.lit(1).alias("enabled"), F.col("n_name").alias("name"),
+        F.lit(0).cast("long").alias("date_added"), F.lit(0).cast("long").alias("date_modified"),
+        F.lit("clients").alias("description"))
+    first = other.limit(1).select(F.lit(0).cast("long").alias("id"), "enabled", F.lit("Default").alias("name"),
+                                  "date_added", "date_modified", "description")
+    groups = dl.ensure_group(first.unionByName(other), as_of())
+    ids = dl.listed_ids(table(spark, sf, "denylist"), table(spark, sf, "listed"))
+    return flat(dl.group_assign(table(spark, sf, "mapping"), ids, dl.group_id(groups)))
+
+
+def q19(spark, sf):
+    """Replies of the model, gated, to denylist rows and their group."""
+    replied = vd.verdict_gate(with_replies(spark, sf))
+    blocks = vd.block_comments(replied)
+    deny, mapping = query_path.block_names(
+        blocks, table(spark, sf, "denylist"), table(spark, sf, "mapping"), 5, policy(spark, sf, upstream=False), as_of())
+    return flat(deny.join(mapping, F.col("id") == F.col("domainlist_id"), "left"), "id", "domain", "comment", "group_id")
+
+
 def d3(spark, sf):
     old = st.expired(times(table(spark, sf, "threats")), as_of(), EXPIRY)
     deny, mapping = dl.denylist_remove(table(spark, sf, "denylist"), table(spark, sf, "mapping"), old, "TI:")
@@ -496,7 +549,7 @@ def queries() -> dict[str, Query]:
     return {
         "S1_read_query_log": s1, "S2_read_domain_feed": s2, "S3_read_json_feed": s3,
         "S4_read_ranked_list": s4, "S5_read_suffix_rules": s5, "S6_read_asn_list": s6,
-        "S7_read_allowlist": s7, "S8_read_registrations": s8, "S9_read_origin_asn": s9,
+        "S7_read_allowlist": s7, "S8_read_registrations": s8, "S9_read_origin_asn": s9, "S9_domain_asn": s9_domains,
         "S10_read_certificates": s10, "S11_lookup_requests": s11, "S12_write_snapshot": s12,
         "S13_append_log": s13,
         "K1_apex": lambda s, f: nm.with_apex(names(s, f), index(s)),
@@ -530,7 +583,7 @@ def queries() -> dict[str, Query]:
         "Q9_enrich_age": q9, "Q10_enrich_asn": q10, "Q11_enrich_tls": q11, "Q12_evidence": q12,
         "Q13_scoring_requests": q13, "Q14_parse_replies": q14, "Q15_verdict_gate": q15,
         "Q16_gate_explain": q16, "Q17_dispositions": q17, "Q17_decided_verdicts": q17_verdicts,
-        "Q18_disposition_stream": q18,
+        "Q18_disposition_stream": q18, "Q19_replies_to_blocks": q19,
         "T1_new_feed_domains": lambda s, f: fd.new_feed_domains(
             table(s, f, "listed"), table(s, f, "threats")).select("feed", "domain"),
         "T2_first_feed_wins": t2,
@@ -538,13 +591,13 @@ def queries() -> dict[str, Query]:
         "T4_hosted_content_block": outcome_query("HOSTED_BLOCK"),
         "T5_popular_apex_guard": outcome_query("POPULAR_SKIP"),
         "T6_feed_score_gate": t6, "T7_verify_feed": t7, "T8_sync_summary": t8,
-        "M1_upsert": m1,
+        "M1_upsert": m1, "M1_upsert_caches": m1_caches, "M10_lookup_due_network": m10_network,
         "M2_latest_verdict": lambda s, f: st.latest_verdict(classifications(s, f)),
         "M3_touch": m3,
         "M4_expired": lambda s, f: st.expired(times(table(s, f, "threats")), as_of(), EXPIRY),
         "M5_expire_blocks": m5, "M6_retain": m6, "M7_feed_freshness": m7, "M8_due_jobs": m8,
         "M9_upgrade_schema": m9, "M10_lookup_due": due_apexes,
-        "D1_denylist_add": d1, "D2_group_assign": d2, "D3_denylist_remove": d3, "D4_migrate_groups": d4,
+        "D1_denylist_add": d1, "D2_group_assign": d2, "D2_new_group": d2_new_group, "D3_denylist_remove": d3, "D4_migrate_groups": d4,
         "R1_group_members": r1, "R2_recent_verdicts": r2, "R3_sync_history": r3,
         "R4_blocks_by_origin": lambda s, f: dl.blocks_by_origin(table(s, f, "denylist")),
         "R5_top_ranked": lambda s, f: flat(br.top_ranked(table(s, f, "popular"), 100)),

@@ -65,7 +65,9 @@ REGISTRATION_SCHEMA = """domain string, fetched_at timestamp,
 
 def iso_time(c):
     """ISO text as a timestamp, UTC when it names no zone; null when it is no time."""
-    return c.try_cast("timestamp")
+    zoned = c.rlike(r"(?i)(z|utc|gmt|[+-]\d{1,2}(:?\d{2})?)\s*$") & c.contains(":")
+    dated = F.when(c.contains(":"), F.concat(c, F.lit("Z"))).otherwise(F.concat(c, F.lit("T00:00:00Z")))
+    return F.when(zoned, c).otherwise(dated).try_cast("timestamp")
 
 
 def parse_registrations(docs: DataFrame) -> DataFrame:
@@ -117,9 +119,10 @@ def parse_certificates(rows: DataFrame) -> DataFrame:
     """(domain, info, fetched_at). A failed check is a signal; an unreachable host has null info."""
     pairs = F.flatten("cert.issuer")
     named = F.filter(pairs, lambda kv: F.get(kv, 0) == "organizationName")
+    # The zone is always GMT; read as an offset, the session zone does not matter.
     not_before = F.try_to_timestamp(
-        F.regexp_replace(F.regexp_replace("cert.notBefore", r"\s+", " "), r" GMT$", ""),
-        F.lit("MMM d HH:mm:ss yyyy"))
+        F.concat(F.regexp_replace(F.regexp_replace("cert.notBefore", r"\s+", " "), r" GMT$", ""), F.lit(" +0000")),
+        F.lit("MMM d HH:mm:ss yyyy Z"))
     failed = F.col("error").isNotNull()
 
     def info(issuer, sans, bad, reason, since):

@@ -73,6 +73,11 @@ def dense_ids(df: DataFrame, key: str, start: int = 0, name: str = "id") -> Data
             .drop("_bucket", "_before"))
 
 
+def utc_day(at: Column) -> Column:
+    """The day of a time in UTC, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(at.cast("timestamp")) / F.lit(86_400_000_000)).cast("int"))
+
+
 def log_rows(df: DataFrame, key: str, at: Column, time_name: str, start: int = 0) -> DataFrame:
     """Rows ready for a log: generated id and time."""
     return dense_ids(df, key, start).withColumn(time_name, at)
@@ -90,5 +95,5 @@ def append_log(df: DataFrame, path: str, key: str, at: Column, time_name: str =
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         start = 0
-    (log_rows(df, key, at, time_name, start).withColumn("day", F.to_date(time_name))
+    (log_rows(df, key, at, time_name, start).withColumn("day", utc_day(F.col(time_name)))
      .write.mode("append").partitionBy("day").parquet(path))

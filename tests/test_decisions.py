@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from domainsieve.fixed import DEFAULT_FEEDS
+from domainsieve.fixed import DEFAULT_FEEDS, Feed
 from domainsieve.operators import (
     admission as adm, brands as br, denylist as dl, enrich as en, lookup, queries as qu, state as st,
     verdicts as vd)
@@ -37,16 +37,38 @@ def test_lookup_join_with_a_hot_key(spark, rows):
 
 
 def test_policy(spark, names):
-    allow = spark.createDataFrame([("good.example.com", False), (".corp.example.com", True)],
+    allow = spark.createDataFrame([("kept.harbour.example", False), (".intra.lake.example", True)],
                                   "entry string, is_suffix boolean")
-    d = names("good.example.com", "x.good.example.com", "vpn.corp.example.com", "corp.example.com",
-              "corp-example.com", "pi.hole", "a.local", "urlhaus.abuse.ch", "evil.com")
+    d = names("kept.harbour.example", "deep.kept.harbour.example", "wiki.intra.lake.example", "intra.lake.example",
+              "intra-lake.example", "localhost", "nas.internal", "urlhaus.abuse.ch", "rough.xyz")
     kept = {r[0] for r in adm.skip_policy(d, adm.query_policy(allow)).collect()}
-    assert kept == {"x.good.example.com", "corp.example.com", "corp-example.com", "evil.com"}
+    assert kept == {"deep.kept.harbour.example", "intra.lake.example", "intra-lake.example", "rough.xyz"}
     kept = {r[0] for r in adm.skip_policy(d, adm.policy_index(allow)).collect()}
     assert "urlhaus.abuse.ch" in kept
 
 
+def test_upstream_hosts_come_from_the_feeds(spark, names):
+    allow = spark.createDataFrame([], "entry string, is_suffix boolean")
+    feeds = (Feed("Own", url="https://Lists.Harbour.example:8443/daily.txt"), Feed("Landed"))
+    d = names("lists.harbour.example", "harbour.example", "urlhaus.abuse.ch")
+    kept = {r[0] for r in adm.skip_policy(d, adm.query_policy(allow, feeds=feeds)).collect()}
+    assert kept == {"harbour.example", "urlhaus.abuse.ch"}
+
+
+def test_denylist_add_cuts_the_last_dot(spark):
+    allow = spark.createDataFrame([], "entry string, is_suffix boolean")
+    empty = spark.createDataFrame([], "id long, domain string")
+    d = spark.createDataFrame([("nas.lan.", "AI:C2:0.90"), ("Rough.xyz.", "AI:C2:0.90")], "domain string, comment string")
+    got = dl.denylist_add(empty, d, adm.policy_index(allow), now())
+    assert [r["domain"] for r in got.collect()] == ["rough.xyz"]
+
+
+def test_many_events_of_one_name(spark):
+    """A ttl of seconds over a long history of one name is one linear pass."""
+    d = spark.range(100_000).select(F.lit("busy.example").alias("domain"), F.timestamp_micros(F.col("id") * 500_000).alias("ts"))
+    assert adm.admit_history(d, 2.0 / 86_400, fold_events=200_000).count() == 20_000
+
+
 def test_unseen(spark, names):
     seen = spark.createDataFrame([("new.com", days_ago(6.9)), ("old.com", days_ago(7.1)),
                                   ("edge.com", days_ago(7))], "domain string, last_seen timestamp")
@@ -178,9 +200,8 @@ def test_what_follows_from_dispositions(spark, names, tables):
     assert [tuple(r) for r in query_path.subdomain_blocks(d).collect()] == [
         ("www.blocked.com", "AI:SUBDOMAIN:blocked.com")]
     prompt = query_path.model_requests(d).first()["prompt"]
-    for part in ('"domain":"g00gle.ru"', '"brand_match_type":"leet"', '"domain_age_days":null', "rule_score=",
-                 '"threat_intel":{}', *[f'brand_match_type="{t}"' for t in (
-                     "official", "exact", "contains", "embedded", "leet", "fuzzy")]):
+    for part in ('"domain":"g00gle.ru"', '"brand_match_type":"leet"', '"domain_age_days":null', "Measured rule_score: ",
+                 '"threat_intel":{}', "official", "exact", "contains", "embedded", "leet", "fuzzy"):
         assert part in prompt
 
 

@@ -1,4 +1,5 @@
 from domainsieve.operators import names as nm
+from domainsieve.operators.names import TailIndex
 from domainsieve.registry.inputs import index as sample_index
 from domainsieve.sources.text import parse_suffix_rules
 
@@ -8,37 +9,37 @@ def keyed(names, index, *domains):
 
 
 def test_apex_follows_suffix_rules(names, index):
-    got = keyed(names, index, "onlinesbi.sbi.co.in", "www.bbc.co.uk", "foo.googleapis.com", "evil.com",
-                "x.y.ck", "z.www.ck", "a.city.kawasaki.jp", "b.a.foo.kawasaki.jp", "co.uk", "single",
-                "a.b.nosuch", "1.2.3.4")
+    got = keyed(names, index, "deep.harbour.co.in", "www.lake.co.uk", "files.meadow.com", "rough.com",
+                "x.y.zq", "z.www.zq", "a.town.kiwi.nz", "b.a.inn.kiwi.nz", "co.uk", "single",
+                "a.b.unlisted", "10.7.8.9")
     apex = {d: r["apex"] for d, r in got.items()}
     assert apex == {
-        "onlinesbi.sbi.co.in": "sbi.co.in", "www.bbc.co.uk": "bbc.co.uk",
-        "foo.googleapis.com": "googleapis.com", "evil.com": "evil.com", "x.y.ck": "x.y.ck",
-        "z.www.ck": "www.ck", "a.city.kawasaki.jp": "city.kawasaki.jp",
-        "b.a.foo.kawasaki.jp": "a.foo.kawasaki.jp", "co.uk": "co.uk", "single": "single",
-        "a.b.nosuch": "b.nosuch", "1.2.3.4": "3.4"}
-    assert got["onlinesbi.sbi.co.in"]["host_label"] == "sbi"
-    assert got["www.bbc.co.uk"]["host_label"] == "bbc"
-    assert got["a.b.nosuch"]["host_label"] == "nosuch"
-    assert got["1.2.3.4"]["host_label"] == "1.2.3.4"
+        "deep.harbour.co.in": "harbour.co.in", "www.lake.co.uk": "lake.co.uk",
+        "files.meadow.com": "meadow.com", "rough.com": "rough.com", "x.y.zq": "x.y.zq",
+        "z.www.zq": "www.zq", "a.town.kiwi.nz": "town.kiwi.nz",
+        "b.a.inn.kiwi.nz": "a.inn.kiwi.nz", "co.uk": "co.uk", "single": "single",
+        "a.b.unlisted": "b.unlisted", "10.7.8.9": "8.9"}
+    assert got["deep.harbour.co.in"]["host_label"] == "harbour"
+    assert got["www.lake.co.uk"]["host_label"] == "lake"
+    assert got["a.b.unlisted"]["host_label"] == "unlisted"
+    assert got["10.7.8.9"]["host_label"] == "10.7.8.9"
 
 
 def test_private_rules_and_providers(names, index):
-    got = keyed(names, index, "a.evil.github.io", "paypal-login.github.io", "fake-bank.pages.dev",
-                "github.io", "evilgithub.io", "www.google.com", "c.a.b.wild-host.com", "site.weebly.com")
-    assert got["a.evil.github.io"]["private_apex"] == "evil.github.io"
-    assert got["a.evil.github.io"]["apex"] == "github.io"
-    assert got["paypal-login.github.io"]["host_label"] == "paypal-login"
-    assert got["paypal-login.github.io"]["icann_label"] == "github"
-    assert got["fake-bank.pages.dev"]["host_label"] == "fake-bank"
+    got = keyed(names, index, "a.rough.github.io", "my-shop.github.io", "fake-bank.sites.demo",
+                "github.io", "mygithub.io", "www.meadow.com", "c.a.b.tenant-cloud.com", "site.weebly.com")
+    assert got["a.rough.github.io"]["private_apex"] == "rough.github.io"
+    assert got["a.rough.github.io"]["apex"] == "github.io"
+    assert got["my-shop.github.io"]["host_label"] == "my-shop"
+    assert got["my-shop.github.io"]["icann_label"] == "github"
+    assert got["fake-bank.sites.demo"]["host_label"] == "fake-bank"
     assert got["github.io"]["private_apex"] == "github.io"
-    assert got["c.a.b.wild-host.com"]["private_apex"] == "a.b.wild-host.com"
+    assert got["c.a.b.tenant-cloud.com"]["private_apex"] == "a.b.tenant-cloud.com"
     provider = {d: r["provider"] for d, r in got.items()}
     assert provider == {
-        "a.evil.github.io": "github.io", "paypal-login.github.io": "github.io",
-        "fake-bank.pages.dev": "pages.dev", "github.io": "github.io", "evilgithub.io": None,
-        "www.google.com": None, "c.a.b.wild-host.com": "wild-host.com", "site.weebly.com": "weebly.com"}
+        "a.rough.github.io": "github.io", "my-shop.github.io": "github.io",
+        "fake-bank.sites.demo": "sites.demo", "github.io": "github.io", "mygithub.io": None,
+        "www.meadow.com": None, "c.a.b.tenant-cloud.com": "tenant-cloud.com", "site.weebly.com": "weebly.com"}
 
 
 def test_measured_index_equals_literal_index(spark, names, index):
@@ -49,7 +50,7 @@ def test_measured_index_equals_literal_index(spark, names, index):
     hosting = literal_table(spark, [(h,) for h in hosting_rows()], "suffix string")
     measured = nm.suffix_index(rules, hosting)
     assert measured.depth == index.depth
-    d = names("a.b.c.co.uk", "x.github.io", "q.www.ck")
+    d = names("a.b.c.co.uk", "x.github.io", "q.www.zq")
     assert (sorted(nm.with_name_keys(d, measured).collect())
             == sorted(nm.with_name_keys(d, index).collect()))
 
@@ -60,22 +61,29 @@ def test_keys_need_no_shuffle(spark, names, index):
 
 
 def test_hosting_suffixes_fall_back_and_merge(spark):
-    snapshot = spark.createDataFrame([("custom-host.example",)], "suffix string")
+    snapshot = spark.createDataFrame([("rooms.demo",)], "suffix string")
     fallback = spark.createDataFrame([("github.io",)], "suffix string")
-    got = {r[0] for r in nm.hosting_suffixes(snapshot, fallback, (".Weebly.com",)).collect()}
-    assert got == {"custom-host.example", "weebly.com"}
+    got = {r[0] for r in nm.hosting_suffixes(snapshot, fallback, (".Sites.Demo",)).collect()}
+    assert got == {"rooms.demo", "sites.demo"}
     got = {r[0] for r in nm.hosting_suffixes(snapshot.limit(0), fallback, ()).collect()}
     assert got == {"github.io"}
 
 
 def test_rules_give_private_suffixes(spark):
-    lines = ["// ===BEGIN ICANN DOMAINS===", "com", "рф", "// ===END ICANN DOMAINS===",
-             "// ===BEGIN PRIVATE DOMAINS===", "// someone", "github.io", "", "Pages.Dev",
-             "*.wildcard-host.example", "!keep.wildcard-host.example",
-             "// ===END PRIVATE DOMAINS===", "after.example"]
+    lines = ["// ===BEGIN ICANN DOMAINS===", "nz", "рф", "// ===END ICANN DOMAINS===", "",
+             "// ===BEGIN PRIVATE DOMAINS===", "Sites.Demo", "*.rooms.demo", "!hall.rooms.demo", "// a remark",
+             "blogs.sample-host.net", "// ===END PRIVATE DOMAINS===", "later.demo"]
     d = spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")
     rules = parse_suffix_rules(d)
     private = {r[0] for r in nm.private_suffixes(rules).collect()}
-    assert private == {"github.io", "pages.dev", "wildcard-host.example"}
+    assert private == {"blogs.sample-host.net", "sites.demo", "rooms.demo"}
     icann = {r[0] for r in rules.filter("section = 'icann'").collect()}
-    assert icann == {"com", "рф", "xn--p1ai"}
+    assert icann == {"nz", "рф", "xn--p1ai"}
+
+
+def test_large_tables_give_the_same_keys(spark, index, names):
+    d = names("www.a.co.uk", "x.github.io", "b.tenant-cloud.com", "c.a.b.tenant-cloud.com", "town.kiwi.nz", "x.y.kiwi.nz",
+              "10.0.0.1", "single", "deep.er.than.any.rule.com", *[f"n{i}.com" for i in range(50)])
+    large = TailIndex(index.table.hint("merge"), index.depth, large=True)
+    rows = (lambda i: sorted(map(str, nm.with_name_keys(d, i).collect())))
+    assert rows(large) == rows(index)
