@@ -149,11 +149,11 @@ def dga_score(shannon_bits: Column, vowels: Column, host_length: Column, digit_s
               hints: Column, any_repeat: Column, params: Params = DEFAULTS) -> Column:
     """Weighted sum of five signs of a generated name, at most 1."""
     signs = [
-        (shannon_bits >= params.entropy_limit, 0.35),
-        ((vowels < 0.25) & (host_length >= 10), 0.20),
-        (digit_share > 0.25, 0.15),
-        ((hints == 0) & (host_length >= 12), 0.20),
-        (any_repeat, 0.10),
+        (shannon_bits >= params.entropy_limit, params.dga_entropy_share),
+        ((vowels < params.few_vowels) & (host_length >= 10), params.dga_vowel_share),
+        (digit_share > params.many_digits, params.dga_digit_share),
+        ((hints == 0) & (host_length >= 12), params.dga_hint_share),
+        (any_repeat, params.dga_repeat_share),
     ]
     total = reduce(lambda a, b: a + b,
                    [F.when(c, F.lit(w)).otherwise(F.lit(0.0)) for c, w in signs])

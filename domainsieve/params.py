@@ -15,6 +15,14 @@ class Params:
     # features
     dga_limit: float = 0.70
     entropy_limit: float = 3.8
+    # shares of the signs of a generated name, and their limits
+    dga_entropy_share: float = 0.35
+    dga_vowel_share: float = 0.20
+    dga_digit_share: float = 0.15
+    dga_hint_share: float = 0.20
+    dga_repeat_share: float = 0.10
+    few_vowels: float = 0.25
+    many_digits: float = 0.25
     # rule weights
     feed_hit_weight: int = 100
     dga_weight: int = 30

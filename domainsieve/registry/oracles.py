@@ -227,6 +227,9 @@ HISTORY = """admitted(domain, ts) AS (
 
 _EXACT_IP = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}"
 
+TLS_SIGNALS = signals(provider="outside", asn="asn", flagged="asn_flagged", age="age", failed="tls_failed",
+                      reason="'self-signed certificate'", cert_age="tls_age")
+
 DECIDED = f"""{ALL_FEATURES},
 {LATEST},
 first_rules AS (SELECT f.*, m.* EXCLUDE (domain), CASE WHEN f.provider <> f.domain THEN f.provider END AS outside,
@@ -246,6 +249,15 @@ looked AS (SELECT r.*, CASE WHEN route = 'SCORE' AND outside IS NULL AND g.creat
 flagged AS (SELECT *, coalesce(asn IN (SELECT asn FROM bad_asns), false) AS asn_flagged FROM looked),
 decided AS (SELECT *, {score(signals(provider='outside', asn='asn', flagged='asn_flagged', age='age'))} AS raw,
   {reasons(signals(provider='outside', asn='asn', flagged='asn_flagged', age='age'))} AS why FROM flagged)"""
+
+# The same with certificates: a fresh record of a reachable host, for names of route SCORE.
+DECIDED_TLS = DECIDED.split("flagged AS (")[0] + f"""certs AS (SELECT domain, event_type = 'error' AS tls_bad,
+  CASE WHEN event_type <> 'error' THEN greatest({days("date_trunc('second', fetched_at)")}, 0) END AS tls_age
+  FROM tls_rows WHERE event_type <> 'signup' AND {days('fetched_at')} < 7),
+flagged AS (SELECT l.*, coalesce(asn IN (SELECT asn FROM bad_asns), false) AS asn_flagged,
+  route = 'SCORE' AND coalesce(tls_bad, false) AS tls_failed, CASE WHEN route = 'SCORE' THEN tls_age END AS tls_age
+  FROM looked l LEFT JOIN certs c USING (domain)),
+decided AS (SELECT *, {score(TLS_SIGNALS)} AS raw, {reasons(TLS_SIGNALS)} AS why FROM flagged)"""
 DECIDED_NEEDS = ("names", "popular", "threats", "classifications", "registrations", "domain_asn",
                  "bad_asns")
 
@@ -561,6 +573,10 @@ def oracles() -> dict[str, str]:
     sql["Q17_dispositions"] = decided(f"""domain, route, {scored('score1')}::BIGINT AS first_score,
   {scored('least(raw, 100)')}::BIGINT AS rule_score, {scored(severity('raw'))} AS severity,
   {scored('why')} AS rule_reasons, rank::BIGINT AS rank, age::BIGINT AS age_days, asn::BIGINT AS asn, asn_flagged""")
+    sql["Q17_with_certificates"] = select((*DECIDED_NEEDS, "tls_rows"), DECIDED_TLS, f"""SELECT domain, route,
+  {scored('least(raw, 100)')}::BIGINT AS rule_score, {scored('why')} AS rule_reasons, tls_age::BIGINT AS cert_age_days,
+  CASE WHEN route = 'SCORE' AND tls_failed THEN true WHEN route = 'SCORE' AND tls_age IS NOT NULL THEN false END AS verify_failed
+  FROM decided""")
     sql["Q17_decided_verdicts"] = decided("""domain, 'SAFE' AS category, 1::DOUBLE AS confidence,
   CASE route WHEN 'POPULAR' THEN 'Popularity allowlist: apex ' || apex || ' rank=' || rank
    ELSE 'Rule pre-filter: score=' || score1 || ' below threshold=15' END AS reason, false AS blocked,
@@ -630,9 +646,9 @@ def oracles() -> dict[str, str]:
   FROM seen s FULL JOIN (SELECT domain, {NOW} AS at FROM names) n USING (domain)""")
     sql["M10_lookup_due_network"] = select(("names", "domain_asn", "tls_rows"), "", f"""
  SELECT 'network' AS part, domain FROM names WHERE domain NOT IN (
-  SELECT domain FROM domain_asn WHERE {days('fetched_at')} < 2)
+  SELECT domain FROM domain_asn WHERE length(domain) % 3 > 0 AND {days('fetched_at')} < 2)
  UNION ALL SELECT 'certificate', domain FROM names WHERE domain NOT IN (
-  SELECT domain FROM tls_rows WHERE {days('fetched_at')} < 2)""")
+  SELECT domain FROM tls_rows WHERE length(domain) % 3 > 0 AND {days('fetched_at')} < 2)""")
     sql["S9_domain_asn"] = select(("names",), "", """
  SELECT a.domain, o.asn::BIGINT AS asn FROM (SELECT domain, '10.0.' || (length(domain) % 30) AS ip FROM names) a
  LEFT JOIN (SELECT '10.0.' || s_nationkey AS ip, min(s_suppkey) AS asn FROM supplier

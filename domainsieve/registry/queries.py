@@ -356,6 +356,13 @@ def q17(spark, sf):
                 "rank", "age_days", "asn", "asn_flagged")
 
 
+def q17_certificates(spark, sf):
+    tables = replace(query_tables(spark, sf), domain_tls=domain_tls(spark, sf))
+    d = query_path.dispositions(table(spark, sf, "names"), tables, as_of(), replace(DEFAULTS, use_tls=True))
+    return flat(d, "domain", "route", "rules.rule_score", joined("rules.rule_reasons").alias("rule_reasons"),
+                "tls.cert_age_days", "tls.verify_failed")
+
+
 def q17_verdicts(spark, sf):
     return flat(query_path.decided_verdicts(decided(spark, sf)), "domain", "category", "confidence",
                 "reason", "blocked", "rule_score", "tld")
@@ -429,7 +436,7 @@ def m1_caches(spark, sf):
 def m10_network(spark, sf):
     names, out = table(spark, sf, "names"), None
     for part, cache in (("network", times(table(spark, sf, "domain_asn"))), ("certificate", domain_tls(spark, sf))):
-        one = en.lookup_due(names, cache, as_of(), 2).select(F.lit(part).alias("part"), "domain")
+        one = en.lookup_due(names, cache.filter("length(domain) % 3 > 0"), as_of(), 2).select(F.lit(part).alias("part"), "domain")
         out = one if out is None else out.union(one)
     return out
 
@@ -582,7 +589,8 @@ def queries() -> dict[str, Query]:
         "Q8_rule_prefilter": lambda s, f: qu.rule_prefilter(featured(s, f)).select("domain", "prefiltered"),
         "Q9_enrich_age": q9, "Q10_enrich_asn": q10, "Q11_enrich_tls": q11, "Q12_evidence": q12,
         "Q13_scoring_requests": q13, "Q14_parse_replies": q14, "Q15_verdict_gate": q15,
-        "Q16_gate_explain": q16, "Q17_dispositions": q17, "Q17_decided_verdicts": q17_verdicts,
+        "Q16_gate_explain": q16, "Q17_dispositions": q17, "Q17_with_certificates": q17_certificates,
+        "Q17_decided_verdicts": q17_verdicts,
         "Q18_disposition_stream": q18, "Q19_replies_to_blocks": q19,
         "T1_new_feed_domains": lambda s, f: fd.new_feed_domains(
             table(s, f, "listed"), table(s, f, "threats")).select("feed", "domain"),
