@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from domainsieve.llm.common import Steps, components, hot_join
 from domainsieve.llm.shingles import mixed, sets_of, with_sets
 from domainsieve.operators.lookup import small_or_shuffled
+from domainsieve.sources.workdir import removed
 
 PLACES = 1 << 20
 # The chance that two texts just at the threshold share no band.
@@ -31,6 +32,8 @@ MISS = 1e-6
 MOST_BANDS = 36
 # Classes on each side of a block comparison.
 BLOCK = 128
+# Buckets of up to this many classes are compared as pairs.
+FEW = 16
 # Shingles that are looked up at a time.
 CHUNK = 4096
 
@@ -62,6 +65,25 @@ def signature(shingles: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def signatures(values: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A row per text, zero where the set is empty; texts are taken together, CHUNK shingles at a time."""
+    out = np.zeros((len(starts) - 1, size), np.int32)
+    first, shifted = permutations(size)
+    full = np.flatnonzero(np.diff(starts))
+    k = 0
+    while k < len(full):
+        begin = starts[full[k]]
+        end = max(k + 1, int(np.searchsorted(starts[full + 1], begin + CHUNK, "right")))
+        rows = full[k:end]
+        if len(rows) == 1:
+            out[rows[0]] = signature(values[begin:starts[rows[0] + 1]], size)
+        else:
+            at = first[(values[begin:starts[rows[-1] + 1]] >> np.uint64(44)).astype(np.int64)]
+            out[rows] = np.minimum.reduceat(shifted[at], starts[rows] - begin, axis=0)
+        k = end
+    return out
+
+
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     parts = signatures.reshape(len(signatures), bands, rows).astype(np.uint64)
     key = mixed(np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(signatures), 1)))
@@ -75,20 +97,18 @@ def signed(items: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             at = 0
-            for sets in sets_of(batch.column(1), words):
-                n = np.fromiter(map(len, sets), np.int32, len(sets))
-                sig = np.zeros((len(sets), bands * rows), np.int32)
-                for i, s in enumerate(sets):
-                    if len(s):
-                        sig[i] = signature(s, bands * rows)
-                keys = band_keys(sig, bands, rows)
-                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
+            for values, starts in sets_of(batch.column(1), words):
+                n = np.diff(starts)
+                keys = band_keys(signatures(values, starts, bands * rows), bands, rows)
+                raw, ends = values.tobytes(), (starts * 8).tolist()
+                digest = [hashlib.blake2b(raw[a:b], digest_size=16).digest() if b > a else None
+                          for a, b in zip(ends, ends[1:])]
+                offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(sets)), pa.array(n), pa.array(digest, pa.binary()),
+                    [batch.column(0).slice(at, len(n)), pa.array(n.astype(np.int32)), pa.array(digest, pa.binary()),
                      pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
                     names=["id", "n", "digest", "bands"])
-                at += len(sets)
+                at += len(n)
 
     return items.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "id long, n int, digest binary, bands array<long>")
@@ -149,6 +169,13 @@ def rest_links(members: DataFrame, sets: DataFrame, percent: int, steps: Steps)
     open_ = steps.save(first, "open-buckets")
     if not open_.limit(1).count():
         return None
+    # Buckets of a few rows: their pairs across components, many buckets in one join.
+    small = members.join(open_.filter(F.col("n") <= FEW).select("key"), "key")
+    other = small.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
+    pairs = small.select("key", F.col("id").alias("a"), "comp").join(other, "key").filter(
+        "a < b AND comp <> comp_b").select("a", "b").distinct()
+    few = star_links(pairs, sets, percent)
+    open_ = open_.filter(F.col("n") > FEW)
     blocks, rests = F.ceil(F.col("n") / BLOCK), F.ceil((F.col("n") - F.col("n_main")) / BLOCK)
     rows = members.join(open_, "key").select(
         "key", "id", "comp", (F.col("comp") != F.col("main")).alias("out"), blocks.alias("blocks"), rests.alias("rests"))
@@ -163,7 +190,8 @@ def rest_links(members: DataFrame, sets: DataFrame, percent: int, steps: Steps)
         return pd.DataFrame(_block_links(pdf, percent), columns=["a", "b"], dtype="int64")
 
     asked = every.unionByName(outside).join(sets.select("id", "set"), "id")
-    return asked.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    many = asked.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    return few.unionByName(many).distinct()
 
 
 def near_groups(items: DataFrame, words: int, percent: int, steps: Steps,
@@ -174,14 +202,16 @@ def near_groups(items: DataFrame, words: int, percent: int, steps: Steps,
     are one node, so they share a component.
     """
     bands, rows = shape or band_shape(percent)
-    sig = steps.save(signed(items, words, bands, rows), "signatures")
+    banded, path = steps.replace(signed(items, words, bands, rows), "signatures", None)
+    sig = steps.save(banded.drop("bands"), "digests")
     linked = sig.filter("n > 0 AND id IS NOT NULL")
-    classes = steps.save(linked.groupBy("digest").agg(
-        F.min("id").alias("cid"), F.count("*").alias("rows"), F.first("bands").alias("bands")), "classes")
-    keyed = classes.select(F.col("cid").alias("id"), F.explode("bands").alias("key"))
-    buckets = steps.save(keyed.groupBy("key").agg(
-        F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1"), "buckets")
+    classes = steps.save(linked.groupBy("digest").agg(F.min("id").alias("cid"), F.count("*").alias("rows")), "classes")
+    reps = banded.filter("n > 0").join(classes.select(F.col("cid").alias("id")), "id", "left_semi")
+    # Dealt out by key once, for the counts and for the join with them.
+    keyed = reps.select("id", F.explode("bands").alias("key")).repartition("key")
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1")
     members = steps.save(keyed.join(buckets, "key").select("key", "id", "first", "m"), "members")
+    removed(items.sparkSession, path)
     pairs = steps.save(members.filter("id <> first").select(
         F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
     asked = steps.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")

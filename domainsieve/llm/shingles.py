@@ -53,6 +53,29 @@ def shingle_set(h: np.ndarray, words: int) -> np.ndarray:
     return np.unique(s)
 
 
+def shingle_table(h: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """All sets of shingle_set() in a row, for texts that start at `at` in h: values, and where
+    each text's set starts. One pass over all texts at once."""
+    lens = np.diff(at)
+    owner = np.repeat(np.arange(len(lens)), lens)
+    many = max(0, len(h) - words + 1)
+    s = np.full(many, np.uint64(words), np.uint64)
+    for k in range(words):
+        s = mixed(s * _ODD[k % 3] + h[k:k + many])
+    # Shingles that reach into the next text do not count.
+    whole = np.arange(len(s)) + words <= at[1:][owner[:len(s)]]
+    s, owner = s[whole], owner[:len(s)][whole]
+    few = np.flatnonzero((lens > 0) & (lens < words))
+    if len(few):
+        s = np.append(s, np.concatenate([shingle_set(h[at[i]:at[i + 1]], words) for i in few]))
+        owner = np.append(owner, few)
+    order = np.lexsort((s, owner))
+    s, owner = s[order], owner[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
+    return s[new], np.append(0, np.cumsum(np.bincount(owner[new], minlength=len(lens))))
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     lens = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start, size = 0, 0
@@ -65,11 +88,10 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield start, len(lens)
 
 
-def sets_of(column: pa.Array, words: int) -> Iterator[list[np.ndarray]]:
-    """The sets of a column's texts, some rows at a time."""
+def sets_of(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of a column's texts, some rows at a time; see shingle_table()."""
     for s, e in slices(column):
-        h, at = word_hashes(column.slice(s, e - s))
-        yield [shingle_set(h[at[i]:at[i + 1]], words) for i in range(e - s)]
+        yield shingle_table(*word_hashes(column.slice(s, e - s)), words)
 
 
 def with_sets(items: DataFrame, words: int) -> DataFrame:
@@ -77,14 +99,13 @@ def with_sets(items: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             at = 0
-            for sets in sets_of(batch.column(1), words):
-                lens = np.fromiter(map(len, sets), np.int64, len(sets))
-                offsets = pa.array(np.append(0, np.cumsum(lens)).astype(np.int32))
-                flat = pa.array(np.concatenate(sets).astype(np.uint64).view(np.int64))
+            for values, starts in sets_of(batch.column(1), words):
+                lens = np.diff(starts)
+                sets = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(sets)), pa.array(lens.astype(np.int32)),
-                     pa.ListArray.from_arrays(offsets, flat)], names=["id", "n", "set"])
-                at += len(sets)
+                    [batch.column(0).slice(at, len(lens)), pa.array(lens.astype(np.int32)), sets],
+                    names=["id", "n", "set"])
+                at += len(lens)
 
     return items.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "id long, n int, set array<long>")
