@@ -128,6 +128,11 @@ def components(edges: DataFrame, steps: Steps) -> DataFrame:
     return labels
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python in batches of fewer rows than the default of 10,000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+
+
 def is_true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 

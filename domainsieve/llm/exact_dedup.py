@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from domainsieve.llm.common import Steps, hot_join
+from domainsieve.llm.common import Steps, hot_join, text_batches
 from domainsieve.operators.lookup import small_or_shuffled
 
 # Rows of one sender, fingerprints of one owner: both bound the memory of a task.
@@ -141,6 +141,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     like_kept: doc_id and code points are those of the row that stays.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     steps = Steps(spark, "exact-dedup")
     total = docs.count()
     bits = min(63, max(16, total.bit_length() + SPARE_BITS))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from domainsieve.llm.common import is_true, with_fields
+from domainsieve.llm.common import is_true, text_batches, with_fields
 
 DIMENSIONS = 1 << 14
 CLUSTERS = 4
@@ -170,6 +170,7 @@ def predict(docs: DataFrame, model: Model, reject_below: float = REJECT_BELOW,
     the model knows no language. Of equal cosines the first language by name wins. Columns of
     these names in docs are replaced; all others stay.
     """
+    text_batches(docs.sparkSession)
     kept = docs.drop(*names)
     langs, idf, centroids, usual = model.langs, model.idf, model.centroids, model.usual
 

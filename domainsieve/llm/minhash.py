@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from domainsieve.llm.common import Steps, components, hot_join
+from domainsieve.llm.common import Steps, components, hot_join, text_batches
 from domainsieve.llm.shingles import mixed, sets_of, with_sets
 from domainsieve.operators.lookup import small_or_shuffled
 from domainsieve.sources.workdir import removed
@@ -109,7 +109,9 @@ def signed(items: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                      pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
                     names=["id", "n", "digest", "bands"])
                 at += len(n)
+            pa.default_memory_pool().release_unused()
 
+    text_batches(items.sparkSession)
     return items.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "id long, n int, digest binary, bands array<long>")
 

@@ -21,13 +21,13 @@ import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from domainsieve.llm.common import Steps, buckets_for, ranked
+from domainsieve.llm.common import Steps, buckets_for, ranked, text_batches
 
 SEQUENCE = 4096
 # Words that a worker remembers; then it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 # Bytes of text that a worker tokenises at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 class WordTokenizer:
@@ -101,7 +101,7 @@ class WordTokenizer:
         n = lens[which]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        source = np.arange(total) + np.repeat(starts[which] - (ends - n), n)
+        source = np.repeat((starts[which] - (ends - n)).astype(np.int32), n) + np.arange(total, dtype=np.int32)
         bounds = np.append(0, ends)[offsets - offsets[0]]
         return flat[source], bounds
 
@@ -146,7 +146,9 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, sequence: int = SEQUENCE
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            pa.default_memory_pool().release_unused()
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from domainsieve.llm.common import text_batches
+
 SLICE_BYTES = 4 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -106,6 +108,8 @@ def with_sets(items: DataFrame, words: int) -> DataFrame:
                     [batch.column(0).slice(at, len(lens)), pa.array(lens.astype(np.int32)), sets],
                     names=["id", "n", "set"])
                 at += len(lens)
+            pa.default_memory_pool().release_unused()
 
+    text_batches(items.sparkSession)
     return items.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "id long, n int, set array<long>")
