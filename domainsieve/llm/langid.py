@@ -12,6 +12,7 @@ CLUSTERS centroids per language.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from domainsieve.llm.common import is_true, text_batches, with_fields
+from domainsieve.llm.common import Steps, is_true, text_batches, with_fields
 
 DIMENSIONS = 1 << 14
 CLUSTERS = 4
@@ -87,22 +88,29 @@ def _learning(docs: DataFrame) -> DataFrame:
     return docs.filter((fold != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
-def inverse_frequencies(learning: DataFrame) -> np.ndarray:
+def frequencies(learning: DataFrame, steps: Steps) -> tuple[np.ndarray, dict[str, int]]:
+    """Inverse document frequencies, and the number of learning documents per language."""
     def run(batches):
-        df, n = np.zeros(DIMENSIONS, np.int64), 0
+        df, n, langs = np.zeros(DIMENSIONS, np.int64), 0, Counter()
         for batch in batches:
+            langs.update(batch.column(1).to_pylist())
             for texts in _texts(batch.column(0)):
                 for t in texts:
                     df += counts(t) > 0
                     n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([[n, *df.tolist()]], pa.list_(pa.int64()))], names=["df"])
-
-    sums = (learning.select("text").mapInArrow(run, "df array<long>").select(F.posexplode("df").alias("i", "n"))
-            .groupBy("i").agg(F.sum("n").alias("n")).collect())  # DIMENSIONS + 1 rows
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([[n, *df.tolist()]], pa.list_(pa.int64())),
+             pa.array([list(langs.items())], pa.map_(pa.string(), pa.int64()))], names=["df", "langs"])
+
+    text_batches(learning.sparkSession)
+    parts = steps.save(learning.select("text", "lang").mapInArrow(run, "df array<long>, langs map<string,long>"), "counts")
+    # DIMENSIONS + 1 rows, and a row per language.
+    sums = parts.select(F.posexplode("df").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()
+    langs = parts.select(F.explode("langs").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(DIMENSIONS + 1)
     for r in sums:
         df[r.i] = r.n
-    return (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
+    return (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32), {r.lang: r.n for r in langs}
 
 
 def _cluster(v: np.ndarray, k: int) -> np.ndarray:
@@ -131,9 +139,15 @@ def learn(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mo
     """
     learning = _learning(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
                                      F.col("lang").cast("string")))
-    idf = inverse_frequencies(learning)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    picked = learning.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample)
+    idf, sizes = frequencies(learning, Steps(docs.sparkSession, "language-id"))
+    # The sampled rows lie below a hash bound that about twice as many rows reach; so only those,
+    # and not some of every partition, meet in the task of their language.
+    place, bound = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), F.lit(0)
+    for lang, n in sizes.items():
+        reach = min(1 << 30, int((2 * sample + 50) * (1 << 30) / n) + 1)
+        bound = F.when(F.col("lang") == lang, F.lit(reach)).otherwise(bound)
+    order = Window.partitionBy("lang").orderBy(place, "doc_id", "text")
+    picked = learning.filter(place < bound).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = [t for t in pdf["text"] if _LETTER(t)]
