@@ -30,13 +30,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without paragraphs that earlier documents have; one left with no text goes."""
-    cut = paragraphs.dedup_paragraphs(docs, names=("__kept", "__n", "__removed"))
+    """Documents without paragraphs and passages that earlier documents have; one left with no text goes."""
+    cut = paragraphs.dedup_substrings(docs, names=("__kept", "__n", "__removed"))
     columns = dict(zip(docs.columns, _columns(docs))) | {"text": F.col("__kept")}
+    same = F.col("__kept").eqNullSafe(F.col("text").cast("string"))
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("__removed") == 0, F.col("n_chars")).otherwise(
+        columns["n_chars"] = F.when(same, F.col("n_chars")).otherwise(
             F.length("__kept")).cast(docs.schema["n_chars"].dataType)
-    return cut.filter("__removed = 0 OR __kept <> ''").select(*[c.alias(name) for name, c in columns.items()])
+    return cut.filter(same | (F.col("__kept") != "")).select(*[c.alias(name) for name, c in columns.items()])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

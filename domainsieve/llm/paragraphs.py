@@ -1,9 +1,11 @@
-"""Substring deduplication: paragraphs that repeat, exactly or nearly, in other places.
+"""Substring deduplication: paragraphs that repeat, exactly or nearly, in other places, and
+passages that repeat inside or across paragraphs.
 
 Paragraphs are the lines of a text. Those of at least MIN_WORDS words are compared by MinHash
 banding tuned for recall and confirmed by exact Jaccard similarity of their shingle sets; linked
 ones form components. The first paragraph of a component, by doc_id and line, stays; the others
-are removed from their documents.
+are removed from their documents. Of what is left, the later copies of runs of 50 equal words or
+more are removed, whatever lines they are laid over (see passages.py).
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from domainsieve.llm.common import Steps, hot_join
 from domainsieve.llm.minhash import near_groups
+from domainsieve.llm.passages import cut_texts
+from domainsieve.sources.workdir import removed
 
 # Shorter paragraphs are left alone.
 MIN_WORDS = 20
@@ -31,7 +35,9 @@ def repeated_paragraphs(docs: DataFrame, words: int, percent: int, min_words: in
     long_ = rows.filter(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= min_words)
     # The numbers are stored with the rows, so all later steps see the same ones.
     items = steps.save(long_.withColumn("id", F.monotonically_increasing_id()), "paragraphs")
-    groups = steps.save(near_groups(items.select("id", "text"), words, percent, steps, SHAPE), "groups")
+    inner = Steps(docs.sparkSession, "paragraph-groups")
+    groups = steps.save(near_groups(items.select("id", "text"), words, percent, inner, SHAPE), "groups")
+    removed(docs.sparkSession, inner.root)
     sizes = groups.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1")
     total = groups.count()
     several = steps.save(hot_join(groups.select("id", "component"), steps.save(sizes, "sizes"), "component", "n", total)
@@ -66,12 +72,30 @@ def dedup_paragraphs(docs: DataFrame, words: int = 5, percent: int = 80, min_wor
     Rows with the same doc_id and text are one document and get the same result; rows without
     doc_id and null texts stay whole.
     """
-    steps = Steps(docs.sparkSession, "paragraphs")
-    gone = steps.save(repeated_paragraphs(docs, words, percent, min_words, steps), "removed")
+    first, steps = Steps(docs.sparkSession, "paragraphs"), Steps(docs.sparkSession, "removed-paragraphs")
+    gone = steps.save(repeated_paragraphs(docs, words, percent, min_words, first), "removed")
+    removed(docs.sparkSession, first.root)
     return without_paragraphs(docs, gone, names)
 
 
+def dedup_substrings(docs: DataFrame, words: int = 5, percent: int = 80, min_words: int = MIN_WORDS,
+                     names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """As dedup_paragraphs(), and text_kept also loses repeated passages; n_removed counts
+    paragraphs gone as a whole."""
+    steps = Steps(docs.sparkSession, "passages")
+    place = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    kept = steps.save(dedup_paragraphs(docs.withColumn("__place", place), words, percent, min_words, names), "kept")
+    left = kept.select("__place.*", F.col(names[0]).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    cut = cut_texts(left, steps).select(
+        F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("text").alias("__cut"), F.col("lines").alias("__lines"))
+    joined = kept.join(cut, (kept["__place.doc_id"] == cut["__id"]) & (kept["__place.h"] == cut["__h"]), "left")
+    return joined.withColumns({
+        names[0]: F.coalesce("__cut", names[0]),
+        names[2]: F.col(names[2]) + F.coalesce("__lines", F.lit(0)),
+    }).drop("__place", "__id", "__h", "__cut", "__lines")
+
+
 def op5_substring_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_paragraphs(docs).select(
+    return dedup_substrings(docs).select(
         "doc_id", "n_paragraphs", "n_removed", F.col("text_kept").alias("text"))

@@ -157,6 +157,52 @@ def test_paragraphs(spark):
     assert paragraphs.dedup_paragraphs(d.limit(0)).count() == 0
 
 
+# -- passages -----------------------------------------------------------------
+
+def test_passages_inside_and_across_lines(spark):
+    """A run of 50 words goes from inside a longer line, over two lines and over wrapped lines."""
+    rng = random.Random(31)
+    p = prose(rng, 50, 10 ** 6)
+    w = p.split(" ")
+    a = [prose(rng, 70, 10 ** 6) for _ in range(12)]
+    wrapped = "\n".join(" ".join(w[k:k + 10]) for k in range(0, 50, 10))
+    rows = [(1, f"{a[0]} {p} {a[1]}"), (2, f"{a[2]}  {p.upper()}\t{a[3]}\r\nend"), (3, f"{a[4]} {' '.join(w[:20])}\n{' '.join(w[20:])} {a[5]}"),
+            (4, f"title\n{wrapped}\n{a[6]}"), (5, f"{a[7]} {' '.join(w[1:])} {a[8]}"), (6, f"{wrapped}\n\nlast words"),
+            (7, f"{a[9]} {p}"), (8, p), (8, p), (None, f"{a[10]} {p} {a[11]}")]
+    want = {1: rows[0][1], 2: f"{a[2]}  {a[3]}\r\nend", 3: f"{a[4]}\n{a[5]}", 4: f"title\n{a[6]}", 5: rows[4][1],
+            6: "\nlast words", 7: a[9], 8: "", None: rows[-1][1]}
+    n_gone = {4: 5, 6: 5, 8: 1}
+    got = paragraphs.dedup_substrings(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.text_kept, r.n_removed) == (want[r.doc_id], n_gone.get(r.doc_id, 0)), r.doc_id
+
+
+def test_passages_brute_force(spark):
+    """Overlapping copies, copies of copies, repeats within a text and short periods."""
+    rng = random.Random(32)
+    pool = prose(rng, 600, 10 ** 6).split(" ")
+    rows = []
+    for i in range(60):
+        w = []
+        for _ in range(rng.randrange(1, 5)):
+            lo, n = rng.randrange(500), rng.choice([30, 49, 50, 51, 90])
+            w += prose(rng, rng.randrange(40), 10 ** 6).split(" ") + pool[lo:lo + n]
+        rows.append((i, "\n".join(" ".join(w[k:k + 12]) for k in range(0, len(w), 12))))
+    rows += [(100 + n, "\n".join(f"v{n} u{n}" for _ in range(n))) for n in (40, 49, 50, 51, 120)]
+    seen, want = {}, {}
+    for i, t in rows:
+        w, gone = words(t), set()
+        for k in range(len(w) - 49):
+            first = seen.setdefault(tuple(w[k:k + 50]), (i, k))
+            if first[0] != i or k >= first[1] + 50:
+                gone.update(range(k, k + 50))
+        want[i] = [x for k, x in enumerate(w) if k not in gone]
+    got = paragraphs.dedup_substrings(docs(spark, rows).repartition(5)).collect()
+    assert {r.doc_id: words(r.text_kept) for r in got} == want
+    assert sum(len(words(t)) for _, t in rows) > sum(map(len, want.values())) + 2000
+
+
 # -- lines --------------------------------------------------------------------
 
 def without_runs(rows, size):
