@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from domainsieve.llm import bpe, exact_dedup, langid, line_runs, minhash, packing, paragraphs, rp_forest, sharding, warc
+from domainsieve.llm import bpe, exact_dedup, langid, line_runs, minhash, packing, paragraphs, rp_forest, sharding, vector_codes, warc
 
 
 def queries():
@@ -17,9 +17,10 @@ def queries():
         "op8_language_id": langid.op8_language_id,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_line_runs": line_runs.op10_line_runs,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
     }
 
 
 def oracles() -> dict[str, str]:
     return {"op6_warc": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE,
-            "op10_line_runs": line_runs.ORACLE}
+            "op10_line_runs": line_runs.ORACLE, "op11_vector_codes": vector_codes.ORACLE}
