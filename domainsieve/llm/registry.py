@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from domainsieve.llm import bpe, exact_dedup, langid, line_runs, minhash, packing, paragraphs, rp_forest, sharding, vector_codes, warc
+from domainsieve.llm import (
+    bpe, decontaminate, exact_dedup, langid, line_runs, minhash, packing, paragraphs, rp_forest, sharding,
+    spelling, vector_codes, warc)
 
 
 def queries():
@@ -18,9 +20,12 @@ def queries():
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_line_runs": line_runs.op10_line_runs,
         "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_spelling": spelling.op12_spelling,
+        "op13_decontaminate": decontaminate.op13_decontaminate,
     }
 
 
 def oracles() -> dict[str, str]:
     return {"op6_warc": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE,
-            "op10_line_runs": line_runs.ORACLE, "op11_vector_codes": vector_codes.ORACLE}
+            "op10_line_runs": line_runs.ORACLE, "op11_vector_codes": vector_codes.ORACLE,
+            "op13_decontaminate": decontaminate.ORACLE}
