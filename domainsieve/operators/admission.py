@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from domainsieve.fixed import DEFAULT_FEEDS, NEVER_BLOCK_NAMES, NEVER_BLOCK_SUFFIXES, SERVICE_HOSTS
 from domainsieve.functions.literals import literal_table
-from domainsieve.operators.lookup import BROADCAST_ROWS, small_or_shuffled
+from domainsieve.operators.chain import admitted_chain
+from domainsieve.operators.lookup import BROADCAST_ROWS, fits, small_or_shuffled
 from domainsieve.operators.names import LABELS, TailIndex, match_tails, tail_index
 from domainsieve.sources.workdir import new_folder, written
 
@@ -92,15 +93,15 @@ def admit_history(events: DataFrame, ttl_days: float, seen: DataFrame | None = N
     An event is admitted when nothing was admitted for its name in the last ttl;
     other events do not move that clock. `seen` gives earlier admissions.
 
-    A name with up to `fold_events` events is folded in one row. Names with more
-    are replayed in time slices of one ttl. A slice admits at most one event per
-    name, the first one late enough, so each slice is a filter and a minimum,
-    spread over many tasks however common a name is.
+    A name with up to `fold_events` events is folded in one row. The events of names with
+    more are dealt to blocks of that size and ranked as linked lists, see chain.py.
     """
     ttl = int(ttl_days * 86_400_000_000)
     d = events.select("domain", _micros(F.col("ts")).alias("t"))
     last = None if seen is None else seen.groupBy("domain").agg(
         F.max(_micros(F.col("last_seen"))).alias("last"))
+    if fits(d, fold_events):
+        return _fold(d, last, ttl)
     folder = new_folder(d.sparkSession, "admission")
     hot = written(d.groupBy("domain").count().filter(F.col("count") > fold_events)
                   .select("domain"), f"{folder}/hot")
@@ -111,11 +112,11 @@ def admit_history(events: DataFrame, ttl_days: float, seen: DataFrame | None = N
     d = d.withColumn("_salt", F.pmod(F.xxhash64("t"), F.lit(_SALTS)))
     keys = small_or_shuffled(_salted(hot), size_of=hot, rows=BROADCAST_ROWS // _SALTS)
     cold = _fold(d.join(keys, ["domain", "_salt"], "left_anti"), last, ttl)
-    hot_events = d.join(keys, ["domain", "_salt"], "left_semi")
+    hot_events = d.join(keys, ["domain", "_salt"], "left_semi").select("domain", "t")
     start = hot.withColumn("last", F.lit(None).cast("long")) if last is None else (
         hot.join(last, "domain", "left"))
-    replayed = _replay_slices(hot_events, written(start, f"{folder}/start"), ttl, folder)
-    return cold.unionByName(replayed)
+    ranked = admitted_chain(hot_events, start, ttl, fold_events, folder)
+    return cold.unionByName(ranked.select("domain", F.timestamp_micros("t").alias("ts")))
 
 
 def _salted(d: DataFrame) -> DataFrame:
@@ -149,21 +150,3 @@ def _admitted(ttl: int):
         return pd.Series(out)
 
     return admitted
-
-
-def _replay_slices(d: DataFrame, start: DataFrame, ttl: int, folder: str) -> DataFrame:
-    """Admissions of hot names, one slice after the other; each slice is written once."""
-    low, high = d.agg(F.min("t"), F.max("t")).first()
-    state = start
-    for i, begin in enumerate(range(low, high + 1, max(ttl, 1))):
-        part = d.filter((F.col("t") >= begin) & (F.col("t") < begin + max(ttl, 1)))
-        keys = small_or_shuffled(_salted(state), size_of=start, rows=BROADCAST_ROWS // _SALTS)
-        found = (part.join(keys, ["domain", "_salt"])
-                 .filter(F.col("last").isNull() | (F.col("t") > F.col("last") + ttl))
-                 .groupBy("domain").agg(F.min("t").alias("t")))
-        found = written(found, f"{folder}/taken/slice={i}")
-        # A stored state: each slice reads the one before, not all of them.
-        state = written(state.join(found, "domain", "left").select(
-            "domain", F.coalesce("t", "last").alias("last")), f"{folder}/state/{i}")
-    taken = d.sparkSession.read.schema("domain string, t long").parquet(f"{folder}/taken")
-    return taken.select("domain", F.timestamp_micros("t").alias("ts"))
