@@ -42,7 +42,7 @@ END AS domain FROM {part}""",
     "names": "SELECT DISTINCT domain FROM {hosts}",
 
     "dns_events": """SELECT e.event_id, e.ts, e.user_id, e.event_type, e.value, h.domain
- FROM {events} e JOIN {hosts} h ON e.event_id % (SELECT count(*) FROM {part}) = h.p_partkey""",
+ FROM {events} e JOIN {hosts} h ON 1 + e.event_id % (SELECT count(*) FROM {part}) = h.p_partkey""",
 
     "log_lines": """SELECT event_id, 'Jan '||substr(cast(ts AS varchar(30)),9,2)||' '
  ||substr(cast(ts AS varchar(30)),12,8)||' dnsmasq[1234]: query['

@@ -195,8 +195,8 @@ def severity(x: str) -> str:
     return f"CASE WHEN {x} >= 80 THEN 'HIGH' WHEN {x} >= 50 THEN 'MEDIUM' WHEN {x} >= 20 THEN 'LOW' ELSE 'INFO' END"
 
 
-def days(since: str) -> str:
-    return f"((epoch_us({NOW}) - epoch_us({since})) // {_DAY})"
+def days(since: str, later: int = 0) -> str:
+    return f"((epoch_us({NOW}) + {later} * {_DAY} - epoch_us({since})) // {_DAY})"
 
 
 def ago(n) -> str:
@@ -298,6 +298,8 @@ wanted AS (SELECT * FROM proposed p WHERE {not_blockable('p', False)}
 added AS (SELECT (SELECT max(id) FROM denylist)
   + row_number() OVER (ORDER BY substr(md5(domain), 1, 3), domain) AS id, domain, comment FROM wanted)"""
 
+LATEST_TIMES = "latest_times AS (SELECT domain, max(classified_at) AS newest FROM classifications GROUP BY domain)"
+
 GONE = """gone AS (SELECT d.id, d.domain FROM denylist d JOIN threats t ON t.domain = d.domain
   WHERE d.type = 1 AND d.comment ILIKE 'TI:%' AND t.last_seen < TIMESTAMP '{now}' - INTERVAL 10 DAY)
 """.format(now=AS_OF)
@@ -414,14 +416,16 @@ def oracles() -> dict[str, str]:
    {log(3)} AS client FROM log_lines WHERE {log(1)} <> '')""",
         """SELECT domain, time_text, client FROM p WHERE contains(domain, '.') AND domain NOT IN ('pi.hole', 'localhost')
  AND NOT regexp_matches(domain, '\\.(local|lan|arpa|internal)$')""")
-    sql["S2_read_domain_feed"] = select(("feed_lines",), f"""l AS (SELECT trim(value) AS v FROM feed_lines),
+    sql["S2_read_domain_feed"] = select(("feed_lines", "json_items"), f"""l AS (SELECT trim(value) AS v FROM feed_lines),
  h AS (SELECT CASE WHEN regexp_matches(v, '^(0\\.0\\.0\\.0|127\\.0\\.0\\.1)\\s')
    THEN regexp_extract(v, '\\s+(\\S+)', 1) ELSE v END AS v FROM l WHERE v <> '' AND NOT starts_with(v, '#')),
  n AS (SELECT rtrim(lower(CASE WHEN contains(v, '://') THEN regexp_extract(v, {host_re}, 2) ELSE v END), '.')
    AS domain FROM h)""",
         f"""SELECT DISTINCT 'urls' AS feed, domain FROM n WHERE contains(domain, '.') AND length(domain) >= 4
  AND NOT regexp_full_match(domain, {q(_EXACT_IP)})
- AND NOT regexp_matches(domain, '\\.(local|lan|arpa|internal)$')""")
+ AND NOT regexp_matches(domain, '\\.(local|lan|arpa|internal)$')
+ UNION ALL SELECT DISTINCT 'items', lower(regexp_extract(url, {host_re}, 2))
+ FROM json_items WHERE regexp_extract(url, {host_re}, 2) <> ''""")
     sql["S3_read_json_feed"] = select(("json_items",), "", f"""SELECT DISTINCT lower(regexp_extract(url, {host_re}, 2))
  AS domain FROM json_items WHERE regexp_extract(url, {host_re}, 2) <> ''""")
     sql["S4_read_ranked_list"] = select(("ranked_lines",), """p AS (SELECT line_no,
@@ -523,6 +527,7 @@ def oracles() -> dict[str, str]:
         "SELECT domain, min(event_id)::BIGINT AS event_id, epoch_us(min_by(ts, event_id)) AS ts_us FROM dns_events GROUP BY domain")
     sql["Q3_unseen"] = select(("names", "seen"), "", f"""SELECT domain FROM names WHERE domain NOT IN (
   SELECT domain FROM seen WHERE last_seen >= {ago(7)})""")
+    sql["Q3_unseen_clustered"] = sql["Q3_unseen"]
     sql["Q4_admit_history"] = select(("dns_events",), HISTORY, "SELECT domain, epoch_us(ts) AS ts_us FROM admitted")
     sql["Q4_admit_users"] = """WITH RECURSIVE admitted(user_id, ts) AS (
   SELECT user_id, min(ts) FROM events GROUP BY user_id UNION ALL
@@ -587,6 +592,7 @@ def oracles() -> dict[str, str]:
     # feeds
     sql["T1_new_feed_domains"] = select(("listed", "threats"), "",
         "SELECT feed, domain FROM listed WHERE domain NOT IN (SELECT domain FROM threats)")
+    sql["T1_new_feed_domains_clustered"] = sql["T1_new_feed_domains"]
     sql["T2_first_feed_wins"] = select(("listed",), "", """SELECT domain, CASE WHEN bool_or(feed = 'URLhaus')
   THEN 'URLhaus' ELSE 'OpenPhish' END AS feed FROM listed GROUP BY domain""")
     def verified(columns, where=""):
@@ -613,18 +619,28 @@ def oracles() -> dict[str, str]:
   epoch_us(coalesce(t.added_at, {NOW})) AS added_us, epoch_us(CASE WHEN u.domain IS NULL THEN t.last_seen ELSE {NOW} END)
   AS last_seen_us FROM threats t FULL JOIN (SELECT domain, min(feed) AS feed FROM listed GROUP BY domain) u USING (domain)""")
     sql["M2_latest_verdict"] = select(("classifications",), LATEST, "SELECT domain, category, confidence, blocked FROM latest")
+    sql["M2_latest_verdict_kept"] = sql["M2_latest_verdict"]
     sql["M3_touch"] = select(("threats", "listed"), "", f"""SELECT domain, epoch_us(CASE WHEN domain IN
   (SELECT domain FROM listed) THEN {NOW} ELSE last_seen END) AS last_seen_us FROM threats""")
+    sql["M3_touch_clustered"] = sql["M3_touch"]
     sql["M4_expired"] = select(("threats",), "", f"SELECT domain FROM threats WHERE last_seen < {ago(10)}")
-    sql["M5_expire_blocks"] = select(("threats", "denylist"), GONE, f"""SELECT 'threat' AS part, domain FROM threats WHERE NOT last_seen < {ago(10)}
- UNION ALL SELECT 'denylist', domain FROM denylist WHERE id NOT IN (SELECT id FROM gone)
- UNION ALL SELECT 'verdict', domain FROM threats WHERE last_seen < {ago(10)}""")
+    sql["M5_expire_blocks"] = select(("threats", "denylist", "mapping"), GONE, f"""
+ SELECT 'threat' AS part, domain, NULL::BIGINT AS group_id FROM threats WHERE NOT last_seen < {ago(10)}
+ UNION ALL SELECT 'denylist', domain, NULL FROM denylist WHERE id NOT IN (SELECT id FROM gone)
+ UNION ALL SELECT 'verdict', domain, NULL FROM threats WHERE last_seen < {ago(10)}
+ UNION ALL SELECT 'mapping', domainlist_id::VARCHAR, group_id FROM mapping WHERE domainlist_id NOT IN (SELECT id FROM gone)""")
+    sql["M5_expire_store"] = sql["M5_expire_blocks"]
     sql["M6_retain"] = select(("classifications", "sync_log", "seen", "domain_asn", "tls_rows"), "", f"""
  SELECT 'classifications' AS part, id::VARCHAR AS key FROM classifications WHERE classified_at >= {ago(20)}
  UNION ALL SELECT 'sync_log', id::VARCHAR FROM sync_log WHERE synced_at >= {ago(20)}
  UNION ALL SELECT 'seen_domains', domain FROM seen WHERE last_seen >= {ago(20)}
  UNION ALL SELECT 'domain_asn', domain FROM domain_asn WHERE fetched_at >= {ago(20)}
  UNION ALL SELECT 'domain_tls', domain FROM tls_rows WHERE fetched_at >= {ago(20)}""")
+    sql["M6_retain_store"] = select(("classifications", "sync_log", "seen"), LATEST_TIMES, f"""
+ SELECT 'classifications' AS part, id::VARCHAR AS key FROM classifications WHERE classified_at >= {ago(20)}
+ UNION ALL SELECT 'sync_log', id::VARCHAR FROM sync_log WHERE synced_at >= {ago(20)}
+ UNION ALL SELECT 'seen_domains', domain FROM seen WHERE last_seen >= {ago(20)}
+ UNION ALL SELECT 'latest_verdicts', domain FROM latest_times WHERE newest >= {ago(20)}""")
     sql["M7_feed_freshness"] = select(("sync_log",), """f(feed_name) AS (VALUES ('URLhaus'), ('OpenPhish'), ('Other')),
  h AS (SELECT f.feed_name, (epoch_us({now}) - epoch_us(max(synced_at))) / 3600000000::DOUBLE AS hours
   FROM f LEFT JOIN sync_log USING (feed_name) GROUP BY f.feed_name)""".format(now=NOW),
@@ -636,6 +652,10 @@ def oracles() -> dict[str, str]:
         "SELECT feed_name, hours FROM h WHERE hours IS NULL OR hours >= every_hours")
     sql["M9_upgrade_schema"] = select(("threats",), "", """SELECT domain, feed_name, epoch_us(added_at) AS added_us,
   epoch_us(added_at) AS last_seen_us FROM threats""")
+    sql["M9_schema_versions"] = select(("threats",), "", """SELECT domain,
+  CASE WHEN length(domain) % 3 > 0 THEN feed_name END AS feed_name, length(domain)::BIGINT AS n,
+  epoch_us(added_at) AS added_us, epoch_us(CASE WHEN length(domain) % 3 = 2 THEN last_seen ELSE added_at END) AS last_seen_us
+ FROM threats""")
     sql["M10_lookup_due"] = select(("names", "registrations"), f"{NAMES},\n{due}", "SELECT apex AS domain FROM due")
 
     sql["M1_upsert_caches"] = select(("registrations", "seen", "names"), "", f"""
@@ -646,9 +666,9 @@ def oracles() -> dict[str, str]:
   FROM seen s FULL JOIN (SELECT domain, {NOW} AS at FROM names) n USING (domain)""")
     sql["M10_lookup_due_network"] = select(("names", "domain_asn", "tls_rows"), "", f"""
  SELECT 'network' AS part, domain FROM names WHERE domain NOT IN (
-  SELECT domain FROM domain_asn WHERE length(domain) % 3 > 0 AND {days('fetched_at')} < 2)
+  SELECT domain FROM domain_asn WHERE {days('fetched_at', 5)} < 2)
  UNION ALL SELECT 'certificate', domain FROM names WHERE domain NOT IN (
-  SELECT domain FROM tls_rows WHERE length(domain) % 3 > 0 AND {days('fetched_at')} < 2)""")
+  SELECT domain FROM tls_rows WHERE {days('fetched_at', 5)} < 2)""")
     sql["S9_domain_asn"] = select(("names",), "", """
  SELECT a.domain, o.asn::BIGINT AS asn FROM (SELECT domain, '10.0.' || (length(domain) % 30) AS ip FROM names) a
  LEFT JOIN (SELECT '10.0.' || s_nationkey AS ip, min(s_suppkey) AS asn FROM supplier

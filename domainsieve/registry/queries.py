@@ -17,9 +17,10 @@ from domainsieve.operators import (
     admission as adm, brands as br, denylist as dl, enrich as en, features as fe, feeds as fd,
     names as nm, queries as qu, state as st, verdicts as vd)
 from domainsieve.params import DEFAULTS
-from domainsieve.plans import feed_path, query_path
+from domainsieve.plans import feed_path, query_path, state_cycle
 from domainsieve.registry.inputs import as_of, brands, brands_index, index, table
 from domainsieve.sources import json_files as jf, sinks, text as tx
+from domainsieve.sources.tables import Store
 from domainsieve.sources.workdir import new_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,7 +75,7 @@ def policy(spark, sf, upstream: bool):
     return adm.query_policy(allow) if upstream else adm.policy_index(allow)
 
 
-def domain_tls(spark, sf) -> DataFrame:
+def certificate_rows(spark, sf) -> DataFrame:
     """Certificate rows as landed: signup stands for unreachable, error for a failed check."""
     kind = F.col("event_type")
     pair = (lambda k, v: F.array(F.array(F.lit(k), v)))
@@ -85,11 +86,14 @@ def domain_tls(spark, sf) -> DataFrame:
         F.concat(F.date_format("fetched_at", "MMM  d HH:mm:ss yyyy"), F.lit(" GMT")).alias("notBefore"),
         F.transform(F.slice(F.array(F.lit(0), F.lit(1)), 1, (F.col("event_id") % 3).cast("int")),
                     lambda i: F.array(F.lit("DNS"), i.cast("string"))).alias("subjectAltName"))
-    rows = times(table(spark, sf, "tls_rows")).select(
+    return times(table(spark, sf, "tls_rows")).select(
         "domain", "fetched_at",
         F.when(kind == "error", "self-signed certificate").alias("error"),
         F.when(~kind.isin("error", "signup"), cert).alias("cert"))
-    return jf.parse_certificates(rows)
+
+
+def domain_tls(spark, sf) -> DataFrame:
+    return jf.parse_certificates(certificate_rows(spark, sf))
 
 
 def query_tables(spark, sf) -> query_path.QueryTables:
@@ -131,38 +135,63 @@ def due_apexes(spark, sf) -> DataFrame:
 
 # -- sources ------------------------------------------------------------------
 
+def landed(lines: DataFrame, name: str, order: str | None = None, files: int = 4) -> str:
+    """Folder with the lines as several text files, in the order of the file names if `order` is given."""
+    folder = new_folder(lines.sparkSession, name)
+    d = lines.repartitionByRange(files, order).sortWithinPartitions(order) if order else lines.repartition(files)
+    d.select("value").write.text(folder)
+    return folder
+
+
+def landed_json(rows: DataFrame, name: str, files: int = 4) -> str:
+    """Folder with the rows as JSON lines in several files."""
+    folder = new_folder(rows.sparkSession, name)
+    rows.repartition(files).write.json(folder)
+    return folder
+
+
 def s1(spark, sf):
-    return tx.parse_query_log(table(spark, sf, "log_lines")).select("domain", "time_text", "client")
+    path = landed(table(spark, sf, "log_lines"), "query-log")
+    return tx.read_query_log(spark, path).select("domain", "time_text", "client")
 
 
 def s2(spark, sf):
-    return tx.parse_feed_lines(table(spark, sf, "feed_lines"), fixed.Feed("urls", is_url_list=True))
+    """Two feeds of several files each: lines, and JSON arrays."""
+    folder = new_folder(spark, "feeds")
+    table(spark, sf, "feed_lines").repartition(4).select("value").write.text(f"{folder}/urls")
+    json_arrays(table(spark, sf, "json_items")).write.option("maxRecordsPerFile", 1).text(f"{folder}/items")
+    feeds = (fixed.Feed("urls", is_url_list=True), fixed.Feed("items", is_json=True, json_field="url"))
+    return tx.read_domain_feed(spark, feeds, folder)
+
+
+def json_arrays(items: DataFrame) -> DataFrame:
+    """Arrays of some hundred objects as text."""
+    arrays = items.groupBy(F.pmod(F.xxhash64("url"), F.lit(items.count() // 500 + 1))).agg(
+        F.to_json(F.collect_list(F.struct("url"))).alias("value"))
+    return arrays.select("value")
 
 
 def s3(spark, sf):
     """The items land as files that hold one array each, of some hundred objects."""
-    items, path = table(spark, sf, "json_items"), new_folder(spark, "json-feed")
-    files = items.count() // 500 + 1
-    arrays = items.groupBy(F.pmod(F.xxhash64("url"), F.lit(files))).agg(
-        F.to_json(F.collect_list(F.struct("url"))).alias("value"))
-    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    path = new_folder(spark, "json-feed")
+    json_arrays(table(spark, sf, "json_items")).write.option("maxRecordsPerFile", 1).text(path)
     return jf.read_json_feed(spark, path)
 
 
 def s4(spark, sf):
-    return flat(tx.parse_ranked_list(table(spark, sf, "ranked_lines"), 1500))
+    return flat(tx.read_ranked_list(spark, landed(table(spark, sf, "ranked_lines"), "ranked", "line_no"), 1500))
 
 
 def s5(spark, sf):
-    return tx.parse_suffix_rules(table(spark, sf, "suffix_lines"))
+    return tx.read_suffix_rules(spark, landed(table(spark, sf, "suffix_lines"), "suffixes", "line_no"))
 
 
 def s6(spark, sf):
-    return jf.parse_asn_list(table(spark, sf, "asn_lines"))
+    return jf.read_asn_list(spark, landed(table(spark, sf, "asn_lines"), "asn-list"))
 
 
 def s7(spark, sf):
-    return tx.parse_allowlist(table(spark, sf, "allow_lines"))
+    return tx.read_allowlist(spark, landed(table(spark, sf, "allow_lines"), "allowlist"))
 
 
 def s8(spark, sf):
@@ -174,7 +203,8 @@ def s8(spark, sf):
             .agg(F.array_sort(F.collect_list(event)).alias("events"))
             .select(F.concat(F.lit("name"), "o_custkey", F.lit(".com")).alias("domain"), "events",
                     as_of().alias("fetched_at")))
-    return jf.parse_registrations(docs).select("domain", us("created_at").alias("created_us"))
+    read = jf.read_registrations(spark, landed_json(docs, "registrations"))
+    return read.select("domain", us("created_at").alias("created_us"))
 
 
 def s9(spark, sf):
@@ -183,22 +213,24 @@ def s9(spark, sf):
     records = table(spark, sf, "supplier").select(
         F.concat(F.lit("10.0."), "s_nationkey").alias("ip"), record.alias("txt"),
         F.col("s_suppkey").alias("record_no"))
-    return jf.parse_origin_asn(records)
+    return jf.read_origin_asn(spark, landed_json(records, "origins"))
 
 
 def s9_domains(spark, sf):
     """Names with an address, and the network of the address."""
     record = F.when(F.col("s_suppkey") % 3 == 0, '"| none |"').otherwise(
         F.concat(F.lit('"'), "s_suppkey", F.lit(' | 10.0.0.0/16 | NL |"')))
-    origins = jf.parse_origin_asn(table(spark, sf, "supplier").select(
-        F.concat(F.lit("10.0."), "s_nationkey").alias("ip"), record.alias("txt"), F.col("s_suppkey").alias("record_no")))
+    origins = jf.read_origin_asn(spark, landed_json(table(spark, sf, "supplier").select(
+        F.concat(F.lit("10.0."), "s_nationkey").alias("ip"), record.alias("txt"),
+        F.col("s_suppkey").alias("record_no")), "origins"))
     addresses = table(spark, sf, "names").select(
         "domain", F.concat(F.lit("10.0."), F.length("domain") % 30).alias("ip"), as_of().alias("fetched_at"))
     return flat(jf.domain_asn(addresses, origins), "domain", "asn")
 
 
 def s10(spark, sf):
-    return flat(domain_tls(spark, sf), "domain", F.col("info").isNotNull().alias("has_info"),
+    read = jf.read_certificates(spark, landed_json(certificate_rows(spark, sf), "certificates"))
+    return flat(read, "domain", F.col("info").isNotNull().alias("has_info"),
                 "info.issuer", "info.san_count", "info.verify_failed", "info.fail_reason",
                 us("info.not_before").alias("not_before_us"))
 
@@ -434,9 +466,10 @@ def m1_caches(spark, sf):
 
 
 def m10_network(spark, sf):
-    names, out = table(spark, sf, "names"), None
+    """Five days later, when a part of the caches is old."""
+    names, later, out = table(spark, sf, "names"), as_of() + F.expr("INTERVAL 5 DAYS"), None
     for part, cache in (("network", times(table(spark, sf, "domain_asn"))), ("certificate", domain_tls(spark, sf))):
-        one = en.lookup_due(names, cache.filter("length(domain) % 3 > 0"), as_of(), 2).select(F.lit(part).alias("part"), "domain")
+        one = en.lookup_due(names, cache, later, 2).select(F.lit(part).alias("part"), "domain")
         out = one if out is None else out.union(one)
     return out
 
@@ -446,11 +479,114 @@ def m3(spark, sf):
         "domain", us("last_seen").alias("last_seen_us"))
 
 
+def expiry_parts(out: dict[str, DataFrame]) -> DataFrame:
+    """What is left of the four tables, and the verdicts; a mapping row goes by its denylist id."""
+    none = F.lit(None).cast("long").alias("group_id")
+    part = (lambda name, key: out[key].select(F.lit(name).alias("part"), "domain", none))
+    mapping = out["mapping"].select(F.lit("mapping").alias("part"), F.col("domainlist_id").cast("string").alias("domain"),
+                                    F.col("group_id").cast("long").alias("group_id"))
+    return part("threat", "threats").union(part("denylist", "denylist")).union(part("verdict", "verdicts")).union(mapping)
+
+
 def m5(spark, sf):
-    out = st.expire_blocks(times(table(spark, sf, "threats")), table(spark, sf, "denylist"),
-                           table(spark, sf, "mapping"), as_of(), EXPIRY)
-    part = (lambda name, key: out[key].select(F.lit(name).alias("part"), "domain"))
-    return part("threat", "threats").union(part("denylist", "denylist")).union(part("verdict", "verdicts"))
+    return expiry_parts(st.expire_blocks(
+        times(table(spark, sf, "threats")), table(spark, sf, "denylist"), table(spark, sf, "mapping"), as_of(), EXPIRY))
+
+
+# -- tables of a store ----------------------------------------------------------
+
+def buckets(spark) -> int:
+    """As many as a shuffle has partitions, so that joins read the clustered side in place."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stored(spark, **clustered: DataFrame) -> Store:
+    """A store with the given tables, clustered by name."""
+    store = Store(spark, new_folder(spark, "store"))
+    change = store.change()
+    for name, d in clustered.items():
+        change.replace(name, d, "domain", buckets(spark))
+    change.commit()
+    return store
+
+
+def q3_clustered(spark, sf):
+    store = stored(spark, seen_domains=times(table(spark, sf, "seen")))
+    return adm.unseen(table(spark, sf, "names"), store.read("seen_domains"), as_of(), 7)
+
+
+def t1_clustered(spark, sf):
+    store = stored(spark, threats=times(table(spark, sf, "threats")))
+    return fd.new_feed_domains(table(spark, sf, "listed"), store.read("threats")).select("feed", "domain")
+
+
+def m3_clustered(spark, sf):
+    """The touched table becomes the next version."""
+    store = stored(spark, threats=times(table(spark, sf, "threats")))
+    change = store.change()
+    change.replace("threats", st.touch(change.read("threats"), table(spark, sf, "listed"), as_of()), "domain",
+                   buckets(spark), placed=True)
+    change.commit()
+    return store.read("threats").select("domain", us("last_seen").alias("last_seen_us"))
+
+
+def verdict_log(spark, sf) -> Store:
+    """A log of verdicts that came in three parts, the second of them late, with the newest kept up to date."""
+    store, d = Store(spark, new_folder(spark, "store")), classifications(spark, sf)
+    third = F.dayofmonth("classified_at")
+    for some in (third <= 10, third > 20, third.between(11, 20)):
+        change = store.change()
+        change.append("classifications", d.filter(some), "classified_at")
+        state_cycle.refresh_latest(change, buckets(spark))
+        change.commit()
+    return store
+
+
+def m2_kept(spark, sf):
+    return verdict_log(spark, sf).read("latest_verdicts").select("domain", "category", "confidence", "blocked")
+
+
+def m5_store(spark, sf):
+    store = stored(spark, threats=times(table(spark, sf, "threats")))
+    change = store.change()
+    change.replace("denylist", table(spark, sf, "denylist"))
+    change.replace("mapping", table(spark, sf, "mapping"))
+    change.commit()
+    state_cycle.expire_cycle(store, as_of(), EXPIRY)
+    return expiry_parts({"verdicts": store.read("classifications"), "threats": store.read("threats"),
+                         "denylist": store.read("denylist"), "mapping": store.read("mapping")})
+
+
+def m6_store(spark, sf):
+    store = verdict_log(spark, sf)
+    change = store.change()
+    change.append("sync_log", times(table(spark, sf, "sync_log")), "synced_at")
+    change.replace("seen_domains", times(table(spark, sf, "seen")), "domain", buckets(spark))
+    change.commit()
+    state_cycle.retention_cycle(store, as_of(), RETENTION)
+    out = None
+    for name, key in (("classifications", "id"), ("sync_log", "id"), ("seen_domains", "domain"), ("latest_verdicts", "domain")):
+        one = store.read(name).select(F.lit(name).alias("part"), F.col(key).cast("string").alias("key"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def m9_store(spark, sf):
+    """Rows of three schemas: without feed and last sighting, without the latter, and whole."""
+    store, d = Store(spark, new_folder(spark, "store")), times(table(spark, sf, "threats"))
+    third = F.pmod(F.length("domain"), F.lit(3))
+    columns = ("domain", "n", "added_at", "feed_name", "last_seen")
+    kinds = ("string", "int", "timestamp", "string", "timestamp")
+    for k, (width, number) in enumerate(((3, "int"), (4, "bigint"), (5, "bigint"))):
+        change = store.change()
+        schema = ", ".join(f"{c} {number if c == 'n' else t}" for c, t in list(zip(columns, kinds))[:width])
+        if k:
+            change.evolve("threat_log", schema, {"last_seen": "added_at"} if k == 2 else None)
+        change.append("threat_log", d.filter(third == k).withColumn("n", F.length("domain").cast(number))
+                      .select(*columns[:width]), "added_at")
+        change.commit()
+    return store.read("threat_log").select("domain", "feed_name", "n", us("added_at").alias("added_us"),
+                                           us("last_seen").alias("last_seen_us"))
 
 
 def m6(spark, sf):
@@ -583,7 +719,7 @@ def queries() -> dict[str, Query]:
         "B2_official_brand": b2,
         "B3_brand_candidates": lambda s, f: flat(br.brand_candidates(keyed(s, f))),
         "B4_brand_similarity": b4, "B5_brand_label": b5,
-        "Q1_skip_policy": q1, "Q2_distinct_first": q2, "Q3_unseen": q3, "Q4_admit_history": q4,
+        "Q1_skip_policy": q1, "Q2_distinct_first": q2, "Q3_unseen": q3, "Q3_unseen_clustered": q3_clustered, "Q4_admit_history": q4,
         "Q4_admit_users": q4_users, "Q5_admit_stream": q5, "Q6_blocked_apex": q6,
         "Q7_popularity_allow": q7,
         "Q8_rule_prefilter": lambda s, f: qu.rule_prefilter(featured(s, f)).select("domain", "prefiltered"),
@@ -594,6 +730,7 @@ def queries() -> dict[str, Query]:
         "Q18_disposition_stream": q18, "Q19_replies_to_blocks": q19,
         "T1_new_feed_domains": lambda s, f: fd.new_feed_domains(
             table(s, f, "listed"), table(s, f, "threats")).select("feed", "domain"),
+        "T1_new_feed_domains_clustered": t1_clustered,
         "T2_first_feed_wins": t2,
         "T3_provider_self_guard": outcome_query("PROVIDER_SELF"),
         "T4_hosted_content_block": outcome_query("HOSTED_BLOCK"),
@@ -601,10 +738,10 @@ def queries() -> dict[str, Query]:
         "T6_feed_score_gate": t6, "T7_verify_feed": t7, "T8_sync_summary": t8,
         "M1_upsert": m1, "M1_upsert_caches": m1_caches, "M10_lookup_due_network": m10_network,
         "M2_latest_verdict": lambda s, f: st.latest_verdict(classifications(s, f)),
-        "M3_touch": m3,
+        "M2_latest_verdict_kept": m2_kept, "M3_touch": m3, "M3_touch_clustered": m3_clustered,
         "M4_expired": lambda s, f: st.expired(times(table(s, f, "threats")), as_of(), EXPIRY),
-        "M5_expire_blocks": m5, "M6_retain": m6, "M7_feed_freshness": m7, "M8_due_jobs": m8,
-        "M9_upgrade_schema": m9, "M10_lookup_due": due_apexes,
+        "M5_expire_blocks": m5, "M5_expire_store": m5_store, "M6_retain": m6, "M6_retain_store": m6_store, "M7_feed_freshness": m7, "M8_due_jobs": m8,
+        "M9_upgrade_schema": m9, "M9_schema_versions": m9_store, "M10_lookup_due": due_apexes,
         "D1_denylist_add": d1, "D2_group_assign": d2, "D2_new_group": d2_new_group, "D3_denylist_remove": d3, "D4_migrate_groups": d4,
         "R1_group_members": r1, "R2_recent_verdicts": r2, "R3_sync_history": r3,
         "R4_blocks_by_origin": lambda s, f: dl.blocks_by_origin(table(s, f, "denylist")),
