@@ -1,4 +1,4 @@
-"""Time-to-live admission on an unbounded stream, with one timestamp of state per name."""
+"""Time-to-live admission on an unbounded stream, with one timestamp of state per name seen lately."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "domain string, ts timestamp"
+# How long after newer events an event may arrive.
+LATE = "1 day"
 
 # Python workers get this code with the job, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -26,8 +28,10 @@ def use_rocksdb(spark: SparkSession) -> None:
 class _Admission(StatefulProcessor):
     """Admits an event when the last admitted one of its name is more than ttl ago.
 
-    Inside a batch events count in order of time, across batches in order of
-    arrival. Only distinct times are held, as packed 64-bit numbers.
+    Inside a batch events count in order of time, across batches in order of arrival. Only
+    distinct times are held, as packed 64-bit numbers. A timer ends a name's state once the
+    watermark has passed its last admission by ttl: whatever is not late by then would be
+    admitted with the state or without it.
     """
 
     def __init__(self, ttl_micros: int):
@@ -37,11 +41,15 @@ class _Admission(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "micros long")
 
+    def _end(self, last: int) -> int:
+        """Milliseconds of the first whole one that is more than ttl after `last`."""
+        return (last + self.ttl) // 1000 + 1
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         times = np.empty(0, dtype="int64")
         for chunk in rows:
             times = np.unique(np.concatenate([times, chunk["t"].to_numpy("int64")]))
-        last = self.last.get()[0] if self.last.exists() else None
+        before = last = self.last.get()[0] if self.last.exists() else None
         at = 0 if last is None else int(np.searchsorted(times, last + self.ttl, "right"))
         taken = []
         while at < len(times):
@@ -49,9 +57,16 @@ class _Admission(StatefulProcessor):
             taken.append(last)
             at = int(np.searchsorted(times, last + self.ttl, "right"))
         if taken:
+            if before is not None:
+                self.handle.deleteTimer(self._end(before))
             self.last.update((last,))
+            self.handle.registerTimer(self._end(last))
             yield pd.DataFrame({"domain": key[0], "ts": pd.to_datetime(taken, unit="us", utc=True)})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -61,16 +76,19 @@ def _drop_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.drop_duplicates()
 
 
-def admit_stream(events: DataFrame, ttl_days: float) -> DataFrame:
+def admit_stream(events: DataFrame, ttl_days: float, late: str = LATE) -> DataFrame:
     """Admitted (domain, ts) of a streaming (domain, ts).
 
-    Repeats of a name at the same time are dropped before the shuffle. Log times
-    are whole seconds, so a name asked for constantly sends on at most one row per
-    second and input batch.
+    Events may arrive up to `late` after newer ones; later still, they are dropped. State lasts
+    until that watermark passes the last admission by the ttl, so it holds the names of about the
+    last ttl and not all there ever were. Repeats of a name at the same time are dropped before
+    the shuffle. Log times are whole seconds, so a name asked for constantly sends on at most
+    one row per second and input batch.
     """
     ttl = int(ttl_days * 86_400_000_000)
     slim = events.select("domain", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     slim = slim.mapInPandas(_drop_repeats, "domain string, t long")
-    return slim.groupBy("domain").transformWithStateInPandas(
+    timed = slim.withColumn("at", F.timestamp_micros("t")).withWatermark("at", late)
+    return timed.groupBy("domain").transformWithStateInPandas(
         statefulProcessor=_Admission(ttl), outputStructType=OUTPUT,
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="EventTime")

@@ -25,6 +25,29 @@ def test_stream_equals_history(spark, tmp_path):
     assert got == {tuple(r) for r in adm.admit_history(d, 7).collect()}
 
 
+def test_state_ends_after_the_ttl(spark, tmp_path):
+    """Names asked for once go with the watermark; the result is that of the whole history."""
+    use_rocksdb(spark)
+    schema, events, rows = "domain string, ts timestamp", [], []
+    for day in range(0, 40, 5):
+        part = [(f"d{day}-{i}", START + timedelta(days=day, minutes=i)) for i in range(20)]
+        part += [("always", START + timedelta(days=day, hours=h)) for h in range(0, 120, 7)]
+        part += [("d0-3", START + timedelta(days=day, hours=1))] if day == 30 else []
+        events += part
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        query = (admit_stream(stream, 7).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+                 .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start())
+        assert query.awaitTermination(120)
+        state = spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/state")
+        rows.append(state.count())
+    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {tuple(r) for r in adm.admit_history(spark.createDataFrame(events, schema), 7).collect()}
+    assert ("d0-3", START + timedelta(days=30, hours=1)) in got
+    # 160 names in all. Of the last seven days, and one that an event may be late, two parts are left.
+    assert rows[0] == 21 and max(rows) <= 61 and rows[-1] <= 41
+
+
 def line(name):
     return f"Jan 01 00:00:00 dnsmasq[1]: query[A] {name} from 10.0.0.1"
 
@@ -65,3 +88,16 @@ def test_disposition_stream(spark, tmp_path, tables):  # noqa: F811
     run()
     assert spark.read.parquet(f"{out}/decided").filter("domain = 'later.org'").count() == 1
     assert spark.read.parquet(f"{out}/decided").count() == 5
+
+
+def test_events_that_come_too_late_are_dropped(spark, tmp_path):
+    use_rocksdb(spark)
+    schema = "domain string, ts timestamp"
+    parts = [[("a", START + timedelta(days=20))], [("b", START + timedelta(days=20, hours=1))],
+             [("late", START + timedelta(days=2)), ("lately", START + timedelta(days=19, hours=12))]]
+    for part in parts:
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        (admit_stream(stream, 7, late="1 day").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+         .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()).awaitTermination()
+    assert {r["domain"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"a", "b", "lately"}
