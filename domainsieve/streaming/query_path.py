@@ -4,49 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from domainsieve.operators.admission import distinct_first, skip_policy, unseen
 from domainsieve.operators.names import TailIndex
-from domainsieve.operators.state import days_before
 from domainsieve.params import DEFAULTS, Params
 from domainsieve.plans.query_path import (
     QueryTables, decided_verdicts, dispositions, model_requests, subdomain_blocks)
-from domainsieve.sources.sinks import read_snapshot, write_snapshot
-
-SEEN = "domain string, last_seen timestamp, batch long"
-
-
-def _batches(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(SEEN).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], SEEN)
-
-
-def seen_names(spark: SparkSession, out: str) -> DataFrame:
-    """(domain, last_seen, batch): the compacted table and the batches after it."""
-    compacted = read_snapshot(spark, f"{out}/seen_compacted", SEEN)
-    done = compacted.agg(F.max("batch")).first()[0]
-    batches = _batches(spark, f"{out}/seen")
-    return compacted.unionByName(batches if done is None else batches.filter(F.col("batch") > done))
-
-
-def compact_seen(spark: SparkSession, out: str, as_of, params: Params = DEFAULTS) -> int:
-    """Fold the seen folders of all batches into one table without rows past retention.
-
-    Run it while the stream stands still; folders of the batches it covers may be
-    deleted afterwards. Returns the row count.
-    """
-    rows = (seen_names(spark, out)
-            .filter(F.col("last_seen") >= days_before(as_of, params.retention_days))
-            .groupBy("domain").agg(F.max("last_seen").alias("last_seen"), F.max("batch").alias("batch")))
-    return write_snapshot(rows, f"{out}/seen_compacted")
-
+from domainsieve.streaming.seen import fold_seen, seen_names
 
 def process_batch(lines: DataFrame, batch: int, out: str, policy: TailIndex,
                   tables: Callable[[SparkSession], QueryTables], as_of=None,
@@ -54,15 +20,16 @@ def process_batch(lines: DataFrame, batch: int, out: str, policy: TailIndex,
     """Decide the names of one batch and write what follows under folders batch=<n>.
 
     Every folder is replaced as a whole, so a batch that runs again after a
-    failure leaves the same rows. `tables` is called per batch, so changed
+    failure leaves the same rows. Seen names of earlier batches are folded when enough
+    have come together (seen.py). `tables` is called per batch, so changed
     reference tables count from the next batch on.
     """
     spark = lines.sparkSession
     as_of = F.current_timestamp() if as_of is None else as_of
     names = distinct_first(skip_policy(lines.select("domain"), policy))
+    fold_seen(spark, out, as_of, params)
     # A batch that runs again does not see its own first try.
-    others = seen_names(spark, out).filter(F.col("batch") != batch)
-    fresh = unseen(names, others, as_of, params.seen_ttl_days)
+    fresh = unseen(names, seen_names(spark, out, before=batch), as_of, params.seen_ttl_days)
     decided_path = f"{out}/decided/batch={batch}"
     dispositions(fresh, tables(spark), as_of, params).write.mode("overwrite").parquet(decided_path)
     decided = spark.read.parquet(decided_path)

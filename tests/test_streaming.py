@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from domainsieve.operators import admission as adm
 from domainsieve.sources.text import read_query_log
 from domainsieve.streaming.admission import admit_stream, use_rocksdb
-from domainsieve.streaming.query_path import compact_seen, disposition_stream, process_batch, seen_names
+from domainsieve.sources import manifest
+from domainsieve.streaming import seen
+from domainsieve.streaming.query_path import disposition_stream, process_batch
+from domainsieve.streaming.seen import compact_seen, seen_names
 from test_decisions import tables  # noqa: F401  (fixture)
 
 START = datetime(2024, 1, 1)
@@ -101,3 +104,64 @@ def test_events_that_come_too_late_are_dropped(spark, tmp_path):
         (admit_stream(stream, 7, late="1 day").writeStream.format("parquet").option("path", f"{tmp_path}/out")
          .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()).awaitTermination()
     assert {r["domain"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"a", "b", "lately"}
+
+
+def test_folding_between_and_during_batches(spark, tmp_path, tables, monkeypatch):  # noqa: F811
+    """Two fold steps, one of them in the middle of each third batch, change no decision."""
+    monkeypatch.setattr(seen, "FAN", 3)
+    as_of = F.lit("2024-03-01 12:00:00").cast("timestamp")
+    policy = adm.query_policy(spark.createDataFrame([], "entry string, is_suffix boolean"))
+    parts = [[f"n{(7 * b + 3 * i) % 40}.org" for i in range(6)] for b in range(11)]
+    plain, folded = str(tmp_path / "plain"), str(tmp_path / "folded")
+    most = []
+
+    def during(batch):
+        def find(s):
+            # The batch has planned what it reads; now that is folded and vacuumed beside it.
+            if batch % 3 == 2:
+                seen.fold_seen(s, folded, as_of, whole=batch % 2 == 0)
+            return tables
+        return find
+
+    for b, names in enumerate(parts):
+        rows = spark.createDataFrame([(n,) for n in names], "domain string")
+        most.append(len(seen.seen_folders(spark, folded, b)))
+        process_batch(rows, b, folded, policy, during(b), as_of)
+        if b == 9:  # it fails after its writes and runs again
+            process_batch(rows, b, folded, policy, during(0), as_of)
+    seen_before, decided = set(), []
+    for b, names in enumerate(parts):
+        decided += [(b, n) for n in sorted(set(names) - seen_before)]
+        seen_before |= set(names)
+    got = spark.read.parquet(f"{folded}/decided").select("batch", "domain").collect()
+    assert sorted(map(tuple, got)) == sorted(decided)
+    assert {r["domain"] for r in seen_names(spark, folded).collect()} == seen_before
+    # At most three folders of a level, three finished batches and the one that may run again.
+    assert max(most) <= 3 * 2 + 4 and manifest.latest(spark, f"{folded}/seen_log")[0] >= 3
+    # Replaced folders go when two newer batches are there.
+    for b in range(len(parts), len(parts) + 4):
+        spark.createDataFrame([], seen.SEEN).write.parquet(f"{folded}/seen/batch={b}")
+        seen.fold_seen(spark, folded, as_of, whole=True)
+    assert len(manifest.children(spark, f"{folded}/seen")) <= 4
+    assert len(manifest.children(spark, f"{folded}/seen_levels")) <= 4
+    assert {r["domain"] for r in seen_names(spark, folded).collect()} == seen_before
+
+
+def test_two_that_fold_at_once(spark, tmp_path, monkeypatch):
+    out, as_of = str(tmp_path), F.lit("2024-03-01 12:00:00").cast("timestamp")
+    for b in range(4):
+        spark.createDataFrame([(f"n{b}", START + timedelta(days=59 - 200 * (b == 1)))], seen.SEEN).write.parquet(f"{out}/seen/batch={b}")
+    commit, tried = manifest.commit, []
+
+    def slower(spark_, path, base, state):
+        if not tried:
+            tried.append(base)
+            assert seen.fold_seen(spark, out, as_of, whole=True) == 1
+        return commit(spark_, path, base, state)
+
+    monkeypatch.setattr(manifest, "commit", slower)
+    assert seen.fold_seen(spark, out, as_of, whole=True) == 0
+    # The newest batch stays by itself, and what is past retention is gone.
+    assert len(seen.seen_folders(spark, out)) == 2
+    assert sorted(r["domain"] for r in seen_names(spark, out).collect()) == ["n0", "n2", "n3"]
+    assert len(manifest.children(spark, f"{out}/seen_levels")) == 1
