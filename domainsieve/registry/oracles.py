@@ -428,6 +428,7 @@ def oracles() -> dict[str, str]:
  FROM json_items WHERE regexp_extract(url, {host_re}, 2) <> ''""")
     sql["S3_read_json_feed"] = select(("json_items",), "", f"""SELECT DISTINCT lower(regexp_extract(url, {host_re}, 2))
  AS domain FROM json_items WHERE regexp_extract(url, {host_re}, 2) <> ''""")
+    sql["S3_read_json_array"] = sql["S3_read_json_feed"]
     sql["S4_read_ranked_list"] = select(("ranked_lines",), """p AS (SELECT line_no,
   TRY_CAST(split_part(value, ',', 1) AS INT) AS rank, rtrim(lower(split_part(value, ',', 2)), '.') AS domain
   FROM ranked_lines)""", """SELECT domain, max_by(rank, line_no)::BIGINT AS rank FROM p

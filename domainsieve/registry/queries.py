@@ -178,6 +178,16 @@ def s3(spark, sf):
     return jf.read_json_feed(spark, path)
 
 
+def s3_array(spark, sf):
+    """The items land as one file with one array, which several tasks read."""
+    path, items = new_folder(spark, "json-array"), table(spark, sf, "json_items")
+    line = F.concat(F.lit(","), F.to_json(F.struct("url", F.lit('a, "note" in [{brackets}]').alias("note"))))
+    lines = items.select(F.lit(1).alias("at"), line.alias("value"))
+    ends = literal_table(spark, [(0, '[{"note": "first }"}'), (2, "]")], "at int, value string")
+    lines.unionByName(ends).orderBy("at").coalesce(1).select("value").write.text(path)
+    return jf.read_json_feed(spark, path)
+
+
 def s4(spark, sf):
     return flat(tx.read_ranked_list(spark, landed(table(spark, sf, "ranked_lines"), "ranked", "line_no"), 1500))
 
@@ -690,7 +700,7 @@ def rounded(c: str) -> F.Column:
 def queries() -> dict[str, Query]:
     names = (lambda spark, sf: table(spark, sf, "names"))
     return {
-        "S1_read_query_log": s1, "S2_read_domain_feed": s2, "S3_read_json_feed": s3,
+        "S1_read_query_log": s1, "S2_read_domain_feed": s2, "S3_read_json_feed": s3, "S3_read_json_array": s3_array,
         "S4_read_ranked_list": s4, "S5_read_suffix_rules": s5, "S6_read_asn_list": s6,
         "S7_read_allowlist": s7, "S8_read_registrations": s8, "S9_read_origin_asn": s9, "S9_domain_asn": s9_domains,
         "S10_read_certificates": s10, "S11_lookup_requests": s11, "S12_write_snapshot": s12,

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from domainsieve.functions.names import clean_name, strip, url_host
+from domainsieve.sources.json_arrays import read_elements
 
 
 # -- JSON feed ----------------------------------------------------------------
@@ -19,26 +19,11 @@ def parse_json_feed(items: DataFrame, field: str = "url") -> DataFrame:
 def read_json_feed(spark: SparkSession, path: str, field: str = "url") -> DataFrame:
     """Hosts of a JSON feed: files that each hold one array of objects.
 
-    The elements are streamed as rows by the JSON reader. Files whose text does
-    not begin with an array are left out.
+    An array of any size is read by several tasks. Files that are not one array are left out, and
+    elements that are not objects have no host.
     """
-    file = F.col("_metadata.file_path")
-    first = (spark.read.text(path)
-             .filter((F.col("_metadata.file_block_start") == 0) & (strip(F.col("value")) != ""))
-             .select(file.alias("_file"), F.monotonically_increasing_id().alias("line"),
-                     F.substring(F.ltrim(F.col("value"), F.lit(" \t﻿")), 1, 1).alias("begin"))
-             .groupBy("_file").agg(F.min_by("begin", "line").alias("begin"))
-             .filter("begin = '['"))
-    items = (spark.read.schema(StructType([StructField(field, StringType()),
-                                           StructField("_text", StringType())]))
-             .option("multiLine", True).option("columnNameOfCorruptRecord", "_text").json(path)
-             .select(field, "_text", file.alias("_file"))
-             .join(first, "_file", "left_semi"))
-    # The reader takes no array with an element that is not an object; such a file comes as text.
-    elements = F.transform(F.from_json("_text", "array<string>"),
-                           lambda e: F.get_json_object(e, f"$['{field}']"))
-    values = F.when(F.col("_text").isNull(), F.array(field)).otherwise(elements)
-    return parse_json_feed(items.select(F.explode(values).alias(field)), field)
+    value = F.get_json_object("element", f"$['{field}']")
+    return parse_json_feed(read_elements(spark, path).select(value.alias(field)), field)
 
 
 # -- ASN list -----------------------------------------------------------------
