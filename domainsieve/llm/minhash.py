@@ -8,6 +8,7 @@ Texts with equal sets are one class and are compared once. Within a bucket of a
 class is compared with the bucket's first class, never with all others. Where a bucket still
 holds several components after that, its rows outside the largest one are compared with all of
 the bucket, block against block, so that no link is lost and no task or table holds all pairs.
+Blocks are measured in shingles, and inside one only sets that share a rare shingle are counted.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ PLACES = 1 << 20
 # The chance that two texts just at the threshold share no band.
 MISS = 1e-6
 MOST_BANDS = 36
-# Classes on each side of a block comparison.
-BLOCK = 128
+# Shingles on each side of a block comparison: 8 MB.
+BLOCK = 1 << 20
 # Buckets of up to this many classes are compared as pairs.
 FEW = 16
 # Shingles that are looked up at a time.
@@ -126,15 +127,38 @@ def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b"))
 
 
+def _shared(x: np.ndarray, flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many values of x each of n sets has; flat holds their values in order, owner whose they are."""
+    lo, hi = np.searchsorted(flat, x), np.searchsorted(flat, x, "right")
+    many = hi - lo
+    at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    return np.bincount(owner[at], minlength=n)
+
+
+def _by_value(flat: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(flat, kind="stable")
+    return flat[order], owner[order]
+
+
 def _block_links(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links between rows marked `rest` and all rows of a block pair that join components."""
+    """Links between rows marked `rest` and all rows of a block pair that join components.
+
+    Two linked sets of n values share one of their n - ceil(percent n / 100) + 1 values that
+    are rarest in the block, so only sets that share such a one are counted through.
+    """
     ids, comps = pdf["id"].to_numpy(), pdf["comp"].tolist()
     sets = [np.asarray(s, np.int64) for s in pdf["set"]]
     size = np.fromiter(map(len, sets), np.int64, len(sets))
-    flat = np.concatenate(sets)
+    values = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+    _, which, often = np.unique(values, return_inverse=True, return_counts=True)
+    rarest = np.lexsort((values, often[which], owner))
+    place = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
+    early = rarest[place < (size - -(-percent * size // 100) + 1)[owner]]
+    # lexsort keeps owners together, so place counts within each set in its new order.
+    first, first_owner = _by_value(values[early], owner[early])
+    starts = np.append(0, np.cumsum(np.bincount(owner[early], minlength=len(sets))))
+    flat, flat_owner = _by_value(values, owner)
     up: dict[int, int] = {}
 
     def root(c: int) -> int:
@@ -144,11 +168,14 @@ def _block_links(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
 
     out = []
     for x in np.flatnonzero(pdf["rest"].to_numpy()):
-        lo, hi = np.searchsorted(flat, sets[x]), np.searchsorted(flat, sets[x], "right")
-        n = hi - lo
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        shared = np.bincount(owner[at], minlength=len(sets))
-        for y in np.flatnonzero(100 * shared >= percent * (size[x] + size - shared)):
+        found = np.flatnonzero(_shared(values[early[starts[x]:starts[x + 1]]], first, first_owner, len(sets)))
+        own = root(comps[x])
+        found = np.array([y for y in found.tolist() if comps[y] != own and root(comps[y]) != own], np.int64)
+        if len(found) > FEW:
+            shared = _shared(sets[x], flat, flat_owner, len(sets))[found]
+        else:
+            shared = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in found], np.int64)
+        for y in found[100 * shared >= percent * (size[x] + size[found] - shared)].tolist():
             a, b = root(comps[x]), root(comps[y])
             if a != b:
                 up[max(a, b)] = min(a, b)
@@ -159,15 +186,18 @@ def _block_links(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
 def rest_links(members: DataFrame, sets: DataFrame, percent: int, steps: Steps) -> DataFrame | None:
     """Links inside buckets (key, id, comp) that hold several components; None if there are none.
 
-    Buckets with the same members are looked at once.
+    Buckets with the same members are looked at once. A bucket's members outside its largest
+    component are compared with all of it, in blocks of about BLOCK shingles on either side. A
+    member goes to as many blocks as the others fill: to one, below BLOCK.
     """
-    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum(
+    weight = steps.save(members.join(sets.select("id", F.col("n").cast("long").alias("w")), "id"), "weighted")
+    sizes = weight.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(
         F.xxhash64("id").cast("decimal(20,0)")).alias("h"))
     buckets = sizes.groupBy("key").agg(
-        F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("h").alias("h"),
-        F.max(F.struct("n", "comp")).alias("main")).filter("comps > 1 AND n > 2")
-    first = buckets.groupBy("n", "h").agg(F.min(F.struct("key", "main")).alias("f")).select(
-        "f.key", F.col("f.main.comp").alias("main"), "n", F.col("f.main.n").alias("n_main"))
+        F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("h").alias("h"),
+        F.max(F.struct("n", "comp", "w")).alias("main")).filter("comps > 1 AND n > 2")
+    first = buckets.groupBy("n", "h").agg(F.min(F.struct("key", "main", "w")).alias("f")).select(
+        "f.key", F.col("f.main.comp").alias("main"), "n", F.col("f.w").alias("w"), F.col("f.main.w").alias("w_main"))
     open_ = steps.save(first, "open-buckets")
     if not open_.limit(1).count():
         return None
@@ -178,7 +208,8 @@ def rest_links(members: DataFrame, sets: DataFrame, percent: int, steps: Steps)
         "a < b AND comp <> comp_b").select("a", "b").distinct()
     few = star_links(pairs, sets, percent)
     open_ = open_.filter(F.col("n") > FEW)
-    blocks, rests = F.ceil(F.col("n") / BLOCK), F.ceil((F.col("n") - F.col("n_main")) / BLOCK)
+    blocks = F.ceil(F.col("w") / BLOCK)
+    rests = F.greatest(F.ceil((F.col("w") - F.col("w_main")) / BLOCK), F.lit(1))
     rows = members.join(open_, "key").select(
         "key", "id", "comp", (F.col("comp") != F.col("main")).alias("out"), blocks.alias("blocks"), rests.alias("rests"))
     place = F.xxhash64("id")

@@ -114,6 +114,29 @@ def test_near_duplicates(spark, monkeypatch, size, percent, block):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+@pytest.mark.parametrize("block", [None, 40_000])
+def test_bucket_of_many_unlinked_near_copies(spark, monkeypatch, block):
+    """2000 sets that share 100 of 130 values pairwise, which is no link, and some that do link."""
+    if block:
+        monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(8)
+    core = list(range(100))
+    own = [[1000 + 15 * i + k for k in range(15)] for i in range(2000)]
+    for i in range(0, 2000, 100):  # these share ten of their own values with the one before
+        own[i + 1][:10] = own[i][:10]
+    sets = [(i, sorted(core + v)) for i, v in enumerate(own)]
+    sets += [(3000 + i, sorted(rng.sample(range(10 ** 6, 2 * 10 ** 6), 30))) for i in range(50)]
+    # The largest component is that of the rows 1000 to 1009.
+    members = spark.createDataFrame([(7, i, 1000 if 1000 <= i < 1010 else i) for i, _ in sets] + [(8, 1, 1), (8, 2, 2), (8, 100, 100)],
+                                    "key long, id long, comp long")
+    table = spark.createDataFrame([(i, len(v), v) for i, v in sets], "id long, n int, set array<long>")
+    steps = minhash.Steps(spark, "rest")
+    members = steps.save(members, "members")
+    got = {tuple(sorted(r)) for r in minhash.rest_links(members, steps.save(table, "sets"), 80, steps).collect()}
+    want = {(i, i + 1) for i in range(0, 2000, 100)} - {(1000, 1001)}
+    assert got == want
+
+
 def test_near_duplicates_without_ids_and_rows(spark):
     d = docs(spark, [(None, "same words here", "k", 1, 2, "x"), (None, "same words here", "k", 1, 2, "x"),
                      (1, "same words here", "k", 1, 2, "x"), (0, "same words HERE", "k", 1, 2, "x")], EXTRA)
