@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -36,6 +37,15 @@ class Steps:
         return table, path
 
 
+    def cluster(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """Store df hash-distributed by `key`. Joins on the key read it where it lies and shuffle
+        only their other side, if there are at least as many buckets as shuffle partitions."""
+        name = f"clustered_{uuid.uuid4().hex}"
+        (df.repartition(buckets, key).write.bucketBy(buckets, key)
+         .option("path", self.path("clustered")).saveAsTable(name))
+        return self.spark.table(name)
+
+
 def buckets_for(rows: int, least: int = 16) -> int:
     return max(least, -(-rows // ROWS_PER_BUCKET))
 

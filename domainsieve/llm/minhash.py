@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -236,7 +237,19 @@ def near_groups(items: DataFrame, words: int, percent: int, steps: Steps,
     """
     bands, rows = shape or band_shape(percent)
     banded, path = steps.replace(signed(items, words, bands, rows), "signatures", None)
-    sig = steps.save(banded.drop("bands"), "digests")
+
+    def sets_of_ids(asked: DataFrame) -> DataFrame:
+        return (with_sets(items.join(small_or_shuffled(asked), "id", "left_semi"), words)
+                .filter("n > 0").dropDuplicates(["id", "n", "set"]))
+
+    return grouped(banded, path, sets_of_ids, percent, steps)
+
+
+def grouped(banded: DataFrame, path: str, sets_of_ids: Callable[[DataFrame], DataFrame], percent: int,
+            steps: Steps) -> DataFrame:
+    """near_groups() of signed rows, stored at `path` and deleted here; sets_of_ids gives the
+    (id, n, set) of the ids that are asked for."""
+    sig = steps.save(banded.select("id", "n", "digest"), "digests")
     linked = sig.filter("n > 0 AND id IS NOT NULL")
     classes = steps.save(linked.groupBy("digest").agg(F.min("id").alias("cid"), F.count("*").alias("rows")), "classes")
     reps = banded.filter("n > 0").join(classes.select(F.col("cid").alias("id")), "id", "left_semi")
@@ -244,12 +257,11 @@ def near_groups(items: DataFrame, words: int, percent: int, steps: Steps,
     keyed = reps.select("id", F.explode("bands").alias("key")).repartition("key")
     buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1")
     members = steps.save(keyed.join(buckets, "key").select("key", "id", "first", "m"), "members")
-    removed(items.sparkSession, path)
+    removed(banded.sparkSession, path)
     pairs = steps.save(members.filter("id <> first").select(
         F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
     asked = steps.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")
-    sets = steps.save(with_sets(items.join(small_or_shuffled(asked), "id", "left_semi"), words)
-                      .filter("n > 0").dropDuplicates(["id", "n", "set"]), "sets")
+    sets = steps.save(sets_of_ids(asked), "sets")
     links = steps.save(star_links(pairs, sets, percent), "links")
     labels = components(links, steps)
     placed = members.filter("m > 2").join(labels, "id", "left").select(

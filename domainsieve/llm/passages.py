@@ -16,17 +16,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from domainsieve.llm.common import Steps, hot_join, text_batches
-from domainsieve.llm.shingles import mixed, slices, word_hashes
+from domainsieve.llm.shingles import UNSPACED, mixed, slices, spaced, word_hashes
 
 HALF = 25
 PASSAGE = 2 * HALF
 # Stretches of HALF words within a passage.
 WINDOW = PASSAGE - HALF + 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_WORD = re.compile(rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+")
 _AT = ["doc_id", "h"]
 
 
@@ -56,7 +57,7 @@ def passages(column: pa.Array):
     """Per slice of a column of texts: its first row, and of all passages the row, the place in
     words, the hashes of both halves and the anchor."""
     for start, end in slices(column):
-        h, at = word_hashes(column.slice(start, end - start))
+        h, at = word_hashes(spaced(column.slice(start, end - start)))
         if len(h) < PASSAGE:
             continue
         s = stretches(h)
@@ -67,12 +68,28 @@ def passages(column: pa.Array):
         yield start, row, whole - at[row], s[whole], s[whole + HALF], anchors(s)[whole]
 
 
+def without_lines(text: str, gone: list[int]) -> str:
+    out = set(gone)
+    return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in out)
+
+
+def kept_texts(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """texts without the lines in `gone`, which is null or empty for most."""
+    some = np.flatnonzero(pc.fill_null(pc.list_value_length(gone), 0).to_numpy(zero_copy_only=False))
+    if not len(some):
+        return texts
+    mask = np.zeros(len(texts), bool)
+    mask[some] = True
+    cut = [without_lines(texts[i].as_py(), gone[i].as_py()) for i in some.tolist()]
+    return pc.replace_with_mask(texts, pa.array(mask), pa.array(cut, pa.string()))
+
+
 def _anchored(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, key): every anchor once per WINDOW passages in a row that have it, as no single
-    stretch is in more of them."""
+    """(doc_id, h, key) of docs (doc_id, h, text, gone): every anchor once per WINDOW passages in a
+    row that have it, as no single stretch is in more of them."""
     def run(batches):
         for batch in batches:
-            for start, row, place, _, _, key in passages(batch.column(2)):
+            for start, row, place, _, _, key in passages(kept_texts(batch.column(2), batch.column(3))):
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
                 k = np.arange(len(key))
@@ -84,16 +101,16 @@ def _anchored(docs: DataFrame) -> DataFrame:
                     names=[*_AT, "key"])
             pa.default_memory_pool().release_unused()
 
-    return docs.select(*_AT, "text").mapInArrow(run, "doc_id long, h long, key long")
+    return docs.select(*_AT, "text", "gone").mapInArrow(run, "doc_id long, h long, key long")
 
 
 def _asked(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, at, key) of the passages of docs (doc_id, h, text, keys) whose anchor is in keys."""
+    """(doc_id, h, at, key) of the passages of docs (doc_id, h, text, gone, keys) whose anchor is in keys."""
     def run(batches):
         for batch in batches:
-            keys = batch.column(3)
+            keys = batch.column(4)
             flat, ends = keys.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(keys.value_lengths().to_numpy()))
-            for start, row, place, a, b, key in passages(batch.column(2)):
+            for start, row, place, a, b, key in passages(kept_texts(batch.column(2), batch.column(3))):
                 out = [np.zeros(0, np.int64)]
                 cuts = np.append(0, np.flatnonzero(np.diff(row)) + 1)
                 for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(row)).tolist()):
@@ -108,7 +125,7 @@ def _asked(docs: DataFrame) -> DataFrame:
                     names=[*_AT, "at", "key"])
             pa.default_memory_pool().release_unused()
 
-    return docs.select(*_AT, "text", "keys").mapInArrow(
+    return docs.select(*_AT, "text", "gone", "keys").mapInArrow(
         run, "doc_id long, h long, at int, key struct<a: long, b: long>")
 
 
@@ -140,29 +157,24 @@ def without(text: str, starts: list[int]) -> tuple[str, int]:
     return "\n".join(kept), lines
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            done = [without(t, s) for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([t for t, _ in done], pa.string()),
-                 pa.array([n for _, n in done], pa.int32())], names=[*_AT, "text", "lines"])
-
-    return docs.select(*_AT, "text", "starts").mapInArrow(run, "doc_id long, h long, text string, lines int")
-
-
-def cut_texts(docs: DataFrame, steps: Steps) -> DataFrame:
-    """(doc_id, h, text, lines) of the docs (doc_id, h, text) that lose passages: the text left and
-    the number of lines that went whole. Rows with the same doc_id and h are one document."""
+def repeated_passages(docs: DataFrame, with_lists, steps: Steps) -> DataFrame:
+    """(doc_id, starts: array<struct<h, x>>): the places, in words of the text without its gone
+    lines, of the passages that go. docs has (doc_id, h, text, gone); with_lists(df, column, how)
+    brings to it a list of values per (doc_id, h). Rows with the same doc_id and h are one document.
+    """
     text_batches(docs.sparkSession)
     found = steps.save(_anchored(docs), "anchors")
     repeated = steps.save(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-anchors")
-    keys = steps.save(hot_join(found, repeated, "key", "n", found.count()).groupBy(*_AT).agg(
-        F.collect_set("key").alias("keys")), "anchors-of")
-    asked = steps.save(_asked(docs.join(keys, _AT)), "passages")
+    keys = steps.save(by_document(hot_join(found, repeated, "key", "n", found.count()).select(*_AT, "key").distinct(),
+                                  "key"), "anchors-of")
+    asked = steps.save(_asked(with_lists(docs, keys, "keys", "inner")), "passages")
     first = steps.save(asked.groupBy("key").agg(
         F.min(F.struct(*_AT, "at")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first-passages")
     apart = (F.struct(*_AT) > F.struct("first.doc_id", "first.h")) | (F.col("at") >= F.col("first.at") + PASSAGE)
-    starts = steps.save(hot_join(asked, first, "key", "n", asked.count()).filter(apart).groupBy(*_AT).agg(
-        F.collect_set("at").alias("starts")), "starts")
-    return steps.save(_cut(docs.join(starts, _AT).dropDuplicates(_AT)), "cut")
+    gone = hot_join(asked, first, "key", "n", asked.count()).filter(apart).select(*_AT, "at").distinct()
+    return steps.save(by_document(gone, "at"), "starts")
+
+
+def by_document(rows: DataFrame, value: str) -> DataFrame:
+    """(doc_id, list: array<struct<h, x>>) of rows (doc_id, h, value): what belongs to texts of an id."""
+    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("h", F.col(value).alias("x"))).alias("list"))

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from domainsieve.llm.common import text_batches
 
 SLICE_BYTES = 4 << 20
+# Thai and Lao, Myanmar, Khmer, kana, Han, compatibility Han.
+UNSPACED = "\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -44,6 +46,17 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return of_word[which[kept]], before[offsets - offsets[0]]
 
 
+def spaced(texts: pa.Array) -> pa.Array:
+    """texts with a space on both sides of every character of the scripts that write none, so that
+    each is a word of its own."""
+    own = pa.concat_arrays([pc.fill_null(texts, ""), pa.array([], pa.string())])
+    data = own.buffers()[2]
+    # Their UTF-8 begins with a byte from E0 on, which few other texts have.
+    if data is None or not (np.frombuffer(data, np.uint8) >= 0xE0).any():
+        return own
+    return pc.replace_substring_regex(own, f"([{UNSPACED}])", r" \1 ")
+
+
 def shingle_set(h: np.ndarray, words: int) -> np.ndarray:
     """Sorted distinct shingles of a text's word hashes."""
     if not len(h):

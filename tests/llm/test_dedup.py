@@ -98,7 +98,7 @@ def near_rows(rng):
     return [(i * 3, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("size, percent, block", [(3, 85, 128), (5, 80, 16)])
+@pytest.mark.parametrize("size, percent, block", [(3, 85, 30_000), (5, 80, 5_000)])
 def test_near_duplicates(spark, monkeypatch, size, percent, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(9)
@@ -226,6 +226,16 @@ def test_passages_brute_force(spark):
     assert sum(len(words(t)) for _, t in rows) > sum(map(len, want.values())) + 2000
 
 
+def test_passages_of_unspaced_text(spark):
+    """2000 Han characters: twice as a whole text, inside a longer line, and on a line of their own."""
+    rng = random.Random(33)
+    han = (lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n)))
+    p, a, b = han(2000), han(1500), han(70)
+    rows = [(1, p), (2, p), (3, a + p + b), (4, f"{b[::-1]}\n{p}\nend"), (5, a[::-1])]
+    got = {r.doc_id: (r.text_kept, r.n_removed) for r in paragraphs.dedup_substrings(docs(spark, rows)).collect()}
+    assert got == {1: (p, 0), 2: ("", 1), 3: (a + b, 0), 4: (f"{b[::-1]}\nend", 1), 5: (a[::-1], 0)}
+
+
 # -- lines --------------------------------------------------------------------
 
 def without_runs(rows, size):
