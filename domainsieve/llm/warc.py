@@ -139,34 +139,47 @@ def row_of(head: dict[str, str], block: bytes, keep: bool, problem: str | None =
 # -- Spark --------------------------------------------------------------------
 
 def with_revisits(pages: DataFrame, steps: Steps) -> DataFrame:
-    """page_id, url, payload, digest, first (page_id of the response for a revisit), own
-    (boolean: this row is its digest's response). Of repeated rows exactly one is the response;
-    a null page_id comes last."""
+    """page_id, url, payload, digest, again (boolean: a revisit), first (page_id of its response),
+    own (boolean: this row is its digest's response). Of repeated rows exactly one is the
+    response; a null page_id comes last.
+
+    pages is read more than once and may deal its rows out differently each time: what a row is
+    follows from its page_id and payload alone. Rows that are alike in both and first of their
+    group are stored and numbered, and the smallest number is the response.
+    """
     p = pages.select(
         F.col("page_id").cast("long"), F.col("url").cast("string"),
-        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-        F.monotonically_increasing_id().alias("rid")).withColumn(
+        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn(
         "digest", F.sha2("html", 256)).withColumn("long", F.octet_length("html") >= REVISIT_BYTES)
+    ids = p.filter("long").groupBy("digest", "page_id").count()
     groups = steps.save(
-        p.filter("long").groupBy("digest").agg(
-            F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "rid")).alias("f"),
-            F.count("*").alias("n")).filter("n > 1").select(
-            F.col("digest").alias("_d"), F.col("f.page_id").alias("first"), F.col("f.rid").alias("_rid"), "n"),
+        ids.groupBy("digest").agg(
+            F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "count")).alias("f"),
+            F.sum("count").alias("n")).filter("n > 1").select(
+            F.col("digest").alias("_d"), F.col("f.page_id").alias("first"), (F.col("f.count") > 1).alias("tied"), "n"),
         "groups")
     if fits(groups):
         joined = p.join(F.broadcast(groups), F.col("digest") == F.col("_d"), "left")
     else:
         bound = pages.count() // HOT_SHARE
         hot = groups.filter(F.col("n") > bound).select(
-            F.col("_d").alias("_hd"), F.col("first").alias("_hf"), F.col("_rid").alias("_hr"))
+            F.col("_d").alias("_hd"), F.col("first").alias("_hf"), F.col("tied").alias("_ht"))
         marked = p.join(F.broadcast(hot), F.col("digest") == F.col("_hd"), "left")
-        key = F.when(F.col("_hd").isNull(), F.col("digest")).otherwise(F.col("rid").cast("string"))
-        joined = marked.withColumn("_k", key).join(groups, F.col("_k") == F.col("_d"), "left").withColumns(
-            {"first": F.coalesce("_hf", "first"), "_rid": F.coalesce("_hr", "_rid")})
-    again = F.col("_rid").isNotNull() & (F.col("_rid") != F.col("rid"))
-    return joined.select("page_id", "url", F.encode("html", "UTF-8").alias("payload"), "digest",
-                         again.alias("again"), F.when(again, F.col("first")).alias("first"),
-                         (F.col("long") & ~again).alias("own"))
+        key = F.when(F.col("_hd").isNull(), F.col("digest")).otherwise(F.xxhash64("page_id", "url").cast("string"))
+        joined = marked.withColumn("_k", key).join(groups, F.col("_k") == F.col("_d"), "left").withColumns({
+            "first": F.when(F.col("_hd").isNotNull(), F.col("_hf")).otherwise(F.col("first")),
+            "tied": F.coalesce("_ht", "tied"), "_d": F.coalesce("_hd", "_d")})
+    grouped = F.col("_d").isNotNull()
+    leads = grouped & F.col("page_id").eqNullSafe(F.col("first"))
+    joined = joined.select("page_id", "url", "html", "digest", "long", "first", grouped.alias("grouped"),
+                           leads.alias("leads"), (leads & F.col("tied")).alias("open"))
+    clear = joined.filter(~F.col("open")).withColumn("again", F.col("grouped") & ~F.col("leads"))
+    alike = steps.save(joined.filter("open").withColumn("row", F.monotonically_increasing_id()), "alike")
+    chosen = alike.groupBy("digest").agg(F.min("row").alias("_row")).select("_row")
+    settled = alike.join(chosen, F.col("row") == F.col("_row"), "left").withColumn("again", F.col("_row").isNull())
+    rows = clear.unionByName(settled.select(*clear.columns))
+    return rows.select("page_id", "url", F.encode("html", "UTF-8").alias("payload"), "digest", "again",
+                       F.when(F.col("again"), F.col("first")).alias("first"), (F.col("long") & ~F.col("again")).alias("own"))
 
 
 def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from domainsieve.llm import warc
 
@@ -37,6 +38,27 @@ def test_round_trip(spark, tmp_path):
     assert len({r.record_id for r in got}) == len(rows)
 
 
+@pytest.mark.parametrize("deal", ["repartition", "shuffle", "distinct"])
+def test_one_response_per_payload_however_rows_are_dealt(spark, tmp_path, monkeypatch, deal):
+    """2000 rows of 20 payloads, some of one page; the frame deals them out anew whenever it is read."""
+    rows = [(i // 2 if i < 200 else i, f"u{i}", f"{i % 20}" * 200, None) for i in range(2000)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    d = {"repartition": d.repartition(7), "shuffle": d.orderBy(F.rand()), "distinct": d.distinct()}[deal]
+    want = {}
+    for i, _, html, _ in rows:
+        want[html] = min(want.get(html, i), i)
+    for n, small in enumerate((True, False)):
+        if not small:
+            monkeypatch.setattr(warc, "fits", lambda df: False)
+        warc.write(d, f"{tmp_path}/{n}")
+        got = warc.read(spark, f"{tmp_path}/{n}").collect()
+        assert len(got) == 2000 and all(r.problem is None for r in got)
+        responses = [r for r in got if r.record_type == "response"]
+        assert sorted((r.page_id, bytes(r.payload).decode()) for r in responses) == sorted((i, h) for h, i in want.items())
+        own = {r.payload_digest: r.page_id for r in responses}
+        assert all(r.refers_to == own[r.payload_digest] for r in got if r.record_type == "revisit")
+
+
 def test_small_and_large_group_tables_agree(spark, tmp_path, monkeypatch):
     rows = [(i, "u", "same" * 50 if i % 3 else f"{i}" * 200, None) for i in range(60)]
     pick = (lambda got: sorted((r.page_id, r.record_type, r.refers_to) for r in got))
