@@ -28,8 +28,10 @@ from domainsieve.llm.common import with_fields
 
 # Units longer than this many bytes are merged one by one.
 BATCH_BYTES = 64
-# Units that a worker remembers; then it starts afresh.
-REMEMBERED = 1_000_000
+# Bytes of units and ids that a worker remembers; beyond, it keeps those of the texts at hand.
+REMEMBERED = 200 << 20
+# Longer units are not remembered. Each one kept takes so many bytes beside its own.
+LONGEST, OVERHEAD = 64, 180
 _NONE = np.int64(1) << 40
 # The white space of Unicode, as the pattern's \s means it.
 _WHITE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -163,7 +165,7 @@ def merge_one(unit: bytes, ranks: Ranks) -> bytes:
 
 
 class Encoder:
-    """Texts to packed ids. Keeps the units it has seen, up to REMEMBERED of them."""
+    """Texts to packed ids. Keeps the short units it has seen, up to REMEMBERED bytes."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = Ranks(path), regex.compile(pattern)
@@ -172,6 +174,7 @@ class Encoder:
         # White space other than space and line feed, or the mark that split() uses.
         self.other = re.compile("[\\x00" + _WHITE.replace("\\x09-\\x0d\\x20", "\\x09\\x0b-\\x0d") + "]").search
         self.seen: dict[str, bytes] = {}
+        self.size = 0
 
     def split(self, text: str) -> list[str]:
         """Units of a text. Single spaces and line feeds need no pattern, only a split."""
@@ -180,11 +183,10 @@ class Encoder:
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").removeprefix("\0").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        seen, out, open_ = self.seen, [], []
+        seen, out, open_, lists = self.seen, [], [], []
         for t in texts:
             units = self.split(t)
+            lists.append(units)
             ids = list(map(seen.get, units))
             if None in ids:
                 open_.append((len(out), units, ids))
@@ -192,12 +194,24 @@ class Encoder:
             else:
                 out.append(b"".join(ids))
         if open_:
-            self.learn({u for _, units, ids in open_ for u, i in zip(units, ids) if i is None})
+            new = self.learned({u for _, units, ids in open_ for u, i in zip(units, ids) if i is None})
             for at, units, ids in open_:
-                out[at] = b"".join([seen[u] if i is None else i for u, i in zip(units, ids)])
+                out[at] = b"".join([new[u] if i is None else i for u, i in zip(units, ids)])
+            self.remember(new, lists)
         return out
 
-    def learn(self, units: set[str]) -> None:
+    def remember(self, more: dict[str, bytes], current: list[list[str]]) -> None:
+        """Keep short units; when that is too much, only those of the lists in `current`."""
+        for u, ids in more.items():
+            if len(u) <= LONGEST:
+                self.seen[u] = ids
+                self.size += len(u) + len(ids) + OVERHEAD
+        if self.size > REMEMBERED:
+            self.seen = {u: self.seen[u] for units in current for u in units if u in self.seen}
+            self.size = sum(len(u) + len(ids) + OVERHEAD for u, ids in self.seen.items())
+
+    def learned(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of units that are not remembered."""
         matches = {u: self.pattern.findall(u) for u in units}
         pieces = {m for found in matches.values() for m in found}
         ids: dict[str, bytes] = {}
@@ -215,8 +229,7 @@ class Encoder:
             for at in range(0, len(group), 4096):
                 part = group[at:at + 4096]
                 ids.update(zip(part, merge_batch([m.encode() for m in part], self.ranks)))
-        for u, found in matches.items():
-            self.seen[u] = b"".join([ids[m] for m in found])
+        return {u: b"".join([ids[m] for m in found]) for u, found in matches.items()}
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.ranks.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

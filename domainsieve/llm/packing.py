@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import heapq
 import os
+import re
 import zlib
 
 import numpy as np
@@ -24,8 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 from domainsieve.llm.common import Steps, buckets_for, ranked, text_batches
 
 SEQUENCE = 4096
-# Words that a worker remembers; then it starts afresh.
-REMEMBERED = 250_000
+# Bytes of words and ids that a worker remembers; beyond, it keeps those of the texts at hand.
+REMEMBERED = 56 << 20
+# Longer words are not remembered. Each one kept takes so many bytes beside its own.
+LONGEST, OVERHEAD = 64, 180
+# Letters that the tokenizer's first steps keep as one letter each: Latin ones but the dotted capital I.
+_LETTERS = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+").fullmatch
 # Bytes of text that a worker tokenises at once.
 SLICE_BYTES = 2 << 20
 
@@ -41,6 +46,7 @@ class WordTokenizer:
         size = self.t.get_vocab_size()
         self.ends = np.array([(self.t.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.seen: dict[str, bytes] = {}
+        self.size = 0
 
     def plain(self, words: list[str]) -> list[bytes]:
         """Ids of each word, by one call of the tokenizer for each."""
@@ -61,39 +67,50 @@ class WordTokenizer:
             out += [raw[4 * s:4 * e] for s, e in zip(starts.tolist(), ends.tolist())]
         return out
 
-    def learn(self, words: list[str]) -> None:
-        seen = self.seen
+    def learned(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that are not remembered."""
         bases: dict[str, None] = {}
-        marked, odd = [], []
+        marked, odd, marks = [], [], {}
         for w in words:
-            if w.isascii() and w.isalpha():
+            if _LETTERS(w):
                 bases[w] = None
-            elif len(w) > 1 and w[-1] in ".,;:!?" and w[:-1].isascii() and w[:-1].isalpha():
+            elif len(w) > 1 and w[-1] in ".,;:!?" and _LETTERS(w, 0, len(w) - 1):
                 marked.append(w)
-                if w[:-1] not in seen:
-                    bases[w[:-1]] = None
-                if w[-1] not in seen:
-                    seen[w[-1]] = self.plain([w[-1]])[0]
+                bases[w[:-1]] = None
+                marks[w[-1]] = None
             else:
                 odd.append(w)
-        seen.update(zip(bases, self.letters(list(bases))))
+        out = {w: self.seen[w] for w in bases if w in self.seen}
+        new = [w for w in bases if w not in out]
+        out.update(zip(new, self.letters(new)))
+        marks = dict(zip(marks, self.plain(list(marks))))
         for w in marked:
-            seen[w] = seen[w[:-1]] + seen[w[-1]]
+            out[w] = out[w[:-1]] + marks[w[-1]]
         if odd:
-            seen.update(zip(odd, self.plain(odd)))
+            out.update(zip(odd, self.plain(odd)))
+        return out
+
+    def remember(self, more: dict[str, bytes], current: list[str]) -> None:
+        """Keep short words; when that is too much, only those of `current`."""
+        for w, ids in more.items():
+            if len(w) <= LONGEST and w not in self.seen:
+                self.seen[w] = ids
+                self.size += len(w) + len(ids) + OVERHEAD
+        if self.size > REMEMBERED:
+            self.seen = {w: self.seen[w] for w in current if w in self.seen}
+            self.size = sum(len(w) + len(ids) + OVERHEAD for w, ids in self.seen.items())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in a row, and where each text starts; null texts have none."""
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
         words = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         offsets = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
         known = coded.dictionary.to_pylist()
         ids = list(map(self.seen.get, known))
         if None in ids:
-            self.learn([w for w, i in zip(known, ids) if i is None])
-            ids = list(map(self.seen.__getitem__, known))
+            new = self.learned([w for w, i in zip(known, ids) if i is None])
+            ids = [new[w] if i is None else i for w, i in zip(known, ids)]
+            self.remember(new, known)
         lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
         starts = np.cumsum(lens) - lens

@@ -55,3 +55,15 @@ def test_encode_and_decode_keep_other_columns(spark):
     got = {r["doc_id"]: r for r in bpe.decode(bpe.encode(d, PATH), PATH).collect()}
     assert bytes(got[1]["decoded"]) == b"Some text, again." and got[1]["n tokens"] == 7
     assert got[2]["ids"] == [] and bytes(got[2]["decoded"]) == b""
+
+
+def test_memory_is_bounded_by_bytes(monkeypatch):
+    rng = random.Random(5)
+    enc = bpe.Encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe, "REMEMBERED", 50_000)
+    texts = [" ".join("".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(rng.choice([2, 5, 3000]))) for _ in range(8))
+             for _ in range(40)]
+    first = [enc.encode([t])[0] for t in texts]
+    assert max(map(len, enc.seen)) <= bpe.LONGEST and enc.size <= 50_000 + 10_000
+    assert [enc.decode(p).decode() for p in first] == texts
+    assert enc.encode(texts) == first

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -55,3 +56,23 @@ def test_pack(spark):
         assert at <= 4096
     assert sorted(sequences) == list(range(len(sequences)))
     assert packing.pack(docs(spark, []), PATH).count() == 0
+
+
+def test_words_of_letters_and_bounded_memory(monkeypatch):
+    """Ids equal the tokenizer's for odd letters; long words and a full memory change nothing."""
+    rng = random.Random(4)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, plain = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    odd = ["".join(chr(rng.choice([*range(0xC0, 0x250), *range(97, 123)])) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    odd += ["İstanbul", "straße.", "naïve,", "don't", "x²", "½", "été", "ŉ", "ǅungla", "ﬁn", "1a2", "日本語", "…"]
+    odd += ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(3000)) for _ in range(5)]
+    texts = [" ".join(rng.choices(odd, k=60)) + rng.choice(["", ".", "\n"]) for _ in range(60)]
+    monkeypatch.setattr(packing, "REMEMBERED", 100_000)
+    for at in range(0, len(texts), 20):
+        part = texts[at:at + 20]
+        ids, bounds = tok.encode(pa.array(part))
+        want = [e.ids for e in plain.encode_batch(part, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+        # What is kept after a full memory are the short words of the texts at hand.
+        assert max(map(len, tok.seen)) <= packing.LONGEST
+        assert tok.size <= 100_000 + sum(len(w) * 13 + packing.OVERHEAD for t in part for w in set(t.split()) if len(w) <= 64)
