@@ -51,15 +51,15 @@ def buckets_for(rows: int, least: int = 16) -> int:
 
 
 def ranked(df: DataFrame, keys: Sequence[str], tie: Sequence[str], name: str, buckets: int,
-           broadcast: bool = False) -> DataFrame:
-    """Add `name`: 0, 1, … within `keys`, in the order of (hash bucket of tie, tie).
+           broadcast: bool = False, spread: Sequence[str] = ()) -> DataFrame:
+    """Add `name`: 0, 1, … within `keys`, in the order of (hash bucket of `spread` or tie, tie).
 
     Rows are numbered inside (keys, bucket) and shifted by the sizes of the buckets before, so
     no task needs all rows of a key. df is read twice; give a stored table. `broadcast` may be
     set where keys times buckets has a small bound.
     """
     keys = list(keys)
-    d = df.withColumn("_b", F.pmod(F.xxhash64(*tie), F.lit(buckets)).cast("int"))
+    d = df.withColumn("_b", F.pmod(F.xxhash64(*(spread or tie)), F.lit(buckets)).cast("int"))
     before = F.sum("count").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(
         Window.unboundedPreceding, -1))
     offsets = d.groupBy(*keys, "_b").count().select(

@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from domainsieve.llm import sharding
 from llm_helpers import docs
 
@@ -31,6 +33,34 @@ def test_groups_stay_together(spark):
     assert sum(len(s) > 1 for s in groups.values()) <= 4
 
 
+def cut_links(rows, shard):
+    """Share of the links between equal texts whose ends are in different shards."""
+    groups = defaultdict(Counter)
+    for i, t in rows:
+        groups[t][shard[i, zlib.crc32(t.encode())]] += 1
+    pairs = (lambda n: n * (n - 1) // 2)
+    links = sum(pairs(sum(g.values())) for g in groups.values())
+    return 1 - sum(pairs(n) for g in groups.values() for n in g.values()) / links
+
+
+@pytest.mark.parametrize("copies, rows", [(2, 24_000), (5, 24_000), (3, 2_000)])
+def test_few_links_are_cut_where_every_text_has_copies(spark, copies, rows):
+    """No shard has room to spare; a random deal cuts 96 per cent of the links."""
+    table = [(i, f"text {i // copies}") for i in range(rows)]
+    assert cut_links(table, check(spark, table)) < (0.05 if rows > 10_000 else 0.15)
+
+
+def test_exchanges_are_balanced():
+    rng = random.Random(3)
+    wanted = {(a, b): rng.randrange(50) for a in range(6) for b in range(6) if a != b}
+    room = [0, 0, 7, 100, 0, 1]
+    got = sharding.accepted(wanted, list(room))
+    assert all(n <= wanted[p] for p, n in got.items())
+    for s in range(6):
+        gain = sum(n for (_, b), n in got.items() if b == s) - sum(n for (a, _), n in got.items() if a == s)
+        assert gain <= room[s]
+
+
 def test_hot_group_nulls_and_repeats(spark):
     """A group of a third of all rows, larger than a shard, fills whole shards."""
     rows = [(i, "hot") for i in range(500)] + [(1000 + i, f"t{i}") for i in range(900)]
