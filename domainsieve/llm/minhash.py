@@ -38,6 +38,8 @@ BLOCK = 1 << 20
 FEW = 16
 # Shingles that are looked up at a time.
 CHUNK = 4096
+# Band keys that a task gathers before it deals them out, and keys of a slot.
+DEALT, SLOT_KEYS = 1 << 21, 1 << 20
 
 
 def band_shape(percent: int, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -118,6 +120,59 @@ def signed(items: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         run, "id long, n int, digest binary, bands array<long>")
 
 
+def _dealt(reps: DataFrame, slots: int) -> DataFrame:
+    """(slot, keys, ids): the band keys of reps (id, bands) and whose they are, many to a row. Equal
+    keys have the same slot."""
+    def run(batches):
+        keys, ids, held = [], [], 0
+
+        def sent():
+            k, i = np.concatenate(keys), np.concatenate(ids)
+            slot = (k.view(np.uint64) >> np.uint64(20)) % np.uint64(slots)
+            order = np.argsort(slot, kind="stable")
+            counts = np.bincount(slot.astype(np.int64), minlength=slots)
+            full = np.flatnonzero(counts)
+            ends = pa.array(np.append(0, np.cumsum(counts[full])).astype(np.int32))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(full.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(k[order])),
+                 pa.ListArray.from_arrays(ends, pa.array(i[order]))], names=["slot", "keys", "ids"])
+
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy()
+            keys.append(flat)
+            ids.append(np.repeat(batch.column(0).to_numpy(), len(flat) // max(1, len(batch))))
+            held += len(flat)
+            if held >= DEALT:
+                yield sent()
+                keys, ids, held = [], [], 0
+        if held:
+            yield sent()
+
+    return reps.mapInArrow(run, "slot int, keys array<long>, ids array<long>")
+
+
+def bucket_members(reps: DataFrame, count: int, steps: Steps) -> DataFrame:
+    """(key, id, first, m) of the bands that several of reps (id, bands) share: the smallest id of the
+    bucket and its size.
+
+    Keys are shuffled once, packed in arrays by slot, a third smaller than as rows. All of a slot is
+    in one partition, where buckets are counted and met again without another shuffle.
+    """
+    spark = reps.sparkSession
+    slots = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * MOST_BANDS // SLOT_KEYS))
+    packed = _dealt(reps, slots).repartition("slot").select("slot", F.explode(F.arrays_zip("keys", "ids")).alias("e"))
+    keyed = packed.select("slot", F.col("e.keys").alias("key"), F.col("e.ids").alias("id"))
+    buckets = keyed.groupBy("slot", "key").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1")
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    # Both sides lie by slot, one of the two join keys; Spark is to take that as good.
+    spark.conf.set(name, "false")
+    try:
+        return steps.save(keyed.join(buckets.hint("shuffle_hash"), ["slot", "key"]).select("key", "id", "first", "m"), "members")
+    finally:
+        spark.conf.set(name, before)
+
+
 def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets share at least percent / 100 of their union."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
@@ -253,10 +308,7 @@ def grouped(banded: DataFrame, path: str, sets_of_ids: Callable[[DataFrame], Dat
     linked = sig.filter("n > 0 AND id IS NOT NULL")
     classes = steps.save(linked.groupBy("digest").agg(F.min("id").alias("cid"), F.count("*").alias("rows")), "classes")
     reps = banded.filter("n > 0").join(classes.select(F.col("cid").alias("id")), "id", "left_semi")
-    # Dealt out by key once, for the counts and for the join with them.
-    keyed = reps.select("id", F.explode("bands").alias("key")).repartition("key")
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1")
-    members = steps.save(keyed.join(buckets, "key").select("key", "id", "first", "m"), "members")
+    members = bucket_members(reps.select("id", "bands"), classes.count(), steps)
     removed(banded.sparkSession, path)
     pairs = steps.save(members.filter("id <> first").select(
         F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
