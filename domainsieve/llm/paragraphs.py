@@ -179,8 +179,13 @@ def _deduplicated(docs: DataFrame, words: int, percent: int, min_words: int, nam
     spark, columns = docs.sparkSession, docs.columns
     steps, first = Steps(spark, "removed"), Steps(spark, "paragraphs")
     own = {c: f"c{k}" for k, c in enumerate(columns)}
-    d = docs.toDF(*own.values()).withColumns({
-        _ID: F.col(own["doc_id"]).cast("long"), _TEXT: F.col(own["text"]).cast("string")})
+    for c, name, kind in (("doc_id", _ID, "bigint"), ("text", _TEXT, "string")):
+        if dict(docs.dtypes)[c] == kind:
+            own[c] = name
+    d = docs.toDF(*own.values())
+    # A column of another type is kept beside the one that is worked with.
+    d = d.withColumns({name: F.col(own[c]).cast(kind) for c, name, kind in (
+        ("doc_id", _ID, "long"), ("text", _TEXT, "string")) if own[c] != name})
     table = _clustered(d, steps)
     gone = steps.save(by_document(repeated_paragraphs(table, words, percent, min_words, first), "i"), "gone")
     removed(spark, first.root)
