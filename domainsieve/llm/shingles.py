@@ -7,6 +7,7 @@ shingle, a text without words the empty set. Two texts are compared by their ful
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,20 +31,57 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# A random value for each byte, the same for A-Z as for a-z.
+_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD[0])
+_VALUE[0x41:0x5B] = _VALUE[0x61:0x7B]
+_BASE, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 2 ** 64)
+# Longer words are hashed one by one; of shorter ones no two differ by a multiple of 2 ** 64 for any base.
+_LONG_WORD = 256
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[start:end], which do not depend on where they lie."""
+    n = 1 << max(12, int(len(data)).bit_length())
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[data] * _powers(_BASE, n)[:len(data)], out=sums[1:])
+    h = mixed((sums[end] - sums[start]) * _powers(_INVERSE, n)[start] + (end - start).astype(np.uint64))
+    for k in np.flatnonzero(end - start > _LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k]:end[k]].tobytes().lower())
+    return h
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in a row, and where each text starts."""
-    # A slice is copied first: lower-casing a slice that was cast mixes up its offsets.
-    own = pa.concat_arrays([pc.fill_null(texts, ""), pa.array([], pa.string())]).cast(pa.large_string())
-    split = pc.ascii_split_whitespace(pc.ascii_lower(own))
-    offsets = split.offsets.to_numpy()
-    coded = split.flatten().dictionary_encode()
-    of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64,
-                          len(coded.dictionary))
-    which = coded.indices.to_numpy()
-    full = pc.binary_length(coded.dictionary).to_numpy() > 0
-    kept = full[which] if len(which) else np.zeros(0, bool)
-    before = np.append(0, np.cumsum(kept))
-    return of_word[which[kept]], before[offsets - offsets[0]]
+    own = pa.concat_arrays([pc.fill_null(texts, ""), pa.array([], pa.string())])
+    offsets = np.frombuffer(own.buffers()[1], np.int32, len(own) + 1) if len(own) else np.zeros(1, np.int32)
+    if not offsets[-1]:
+        return np.zeros(0, np.uint64), np.zeros(len(own) + 1, np.int64)
+    data = np.frombuffer(own.buffers()[2], np.uint8, offsets[-1])
+    inside = ~_SPACE[data]
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    # A word begins after white space or with its text, and ends before white space or with its text.
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | first[1:-1]
+    ends[:-1] &= ~inside[1:] | first[1:-1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    out, k = np.zeros(len(start), np.uint64), 0
+    while k < len(start):
+        # Some words at a time, so that a very long text takes no more memory than its own.
+        low = int(start[k])
+        stop = max(k + 1, int(np.searchsorted(end, low + SLICE_BYTES, "right")))
+        out[k:stop] = _hashed(data[low:int(end[stop - 1])], start[k:stop] - low, end[k:stop] - low)
+        k = stop
+    return out, np.searchsorted(start, offsets)
 
 
 def spaced(texts: pa.Array) -> pa.Array:
@@ -68,6 +106,20 @@ def shingle_set(h: np.ndarray, words: int) -> np.ndarray:
     return np.unique(s)
 
 
+def _order(s: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The order by owner, then value."""
+    if not len(owner) or int(owner.max()) >= 1 << 20:
+        return np.lexsort((s, owner))
+    # One sort by the owner and the upper bits, unless two values of an owner differ only below.
+    both = owner.astype(np.uint64) << np.uint64(44) | s >> np.uint64(20)
+    order = np.argsort(both)
+    near = both[order]
+    values = s[order]
+    if ((near[1:] == near[:-1]) & (values[1:] != values[:-1])).any():
+        return np.lexsort((s, owner))
+    return order
+
+
 def shingle_table(h: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """All sets of shingle_set() in a row, for texts that start at `at` in h: values, and where
     each text's set starts. One pass over all texts at once."""
@@ -84,7 +136,7 @@ def shingle_table(h: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray
     if len(few):
         s = np.append(s, np.concatenate([shingle_set(h[at[i]:at[i + 1]], words) for i in few]))
         owner = np.append(owner, few)
-    order = np.lexsort((s, owner))
+    order = _order(s, owner)
     s, owner = s[order], owner[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])
