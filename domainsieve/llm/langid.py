@@ -31,6 +31,8 @@ CLUSTERS = 4
 SAMPLE = 400
 # A text is rejected below this share of the lowest cosine that is usual for its length.
 REJECT_BELOW = 0.5
+# Share of sampled texts that may lie lower than usual, and texts that a quantile is taken from.
+LOW, ENOUGH = 0.02, 50
 # Bytes of one text that are counted at a time.
 WINDOW = 1 << 22
 ROUNDS = 8
@@ -74,8 +76,8 @@ def _texts(column: pa.Array, rows: int = 128) -> Iterator[list[str | None]]:
 class Model:
     """What a learner knows: weights, centroids, their languages, and how near own texts lie.
 
-    usual[i] is the lowest cosine of a sampled text of 2**i to 2**(i+1) bytes to its centroid,
-    or of a shorter band where a band has no text.
+    usual[l, i] is what nearly all sampled texts of the l-th centroid's language and about 2**i bytes
+    reach, see usual_cosines().
     """
     idf: np.ndarray
     centroids: np.ndarray
@@ -162,18 +164,30 @@ def learn(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mo
     rows = sorted(picked.select("lang", "text").groupBy("lang").applyInPandas(
         fit, "lang string, centroids binary, near binary, bytes binary").collect(), key=lambda r: r.lang)
     if not rows:
-        return Model(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(64))
+        return Model(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros((0, 64)))
     parts = [np.frombuffer(r.centroids, "<f4").reshape(-1, DIMENSIONS) for r in rows]
     near = np.concatenate([np.frombuffer(r.near, "<f4") for r in rows])
     band = np.log2(np.maximum(np.concatenate([np.frombuffer(r.bytes, "<i8") for r in rows]), 1)).astype(int)
-    usual, low = np.zeros(64), 0.0
+    of_text = np.repeat(np.arange(len(rows)), [len(r.near) // 4 for r in rows])
+    usual = usual_cosines(near, band, of_text, len(rows))
+    return Model(idf, np.concatenate(parts), [r.lang for r, p in zip(rows, parts) for _ in p],
+                 np.repeat(usual, [len(p) for p in parts], axis=0))
+
+
+def usual_cosines(near: np.ndarray, band: np.ndarray, lang: np.ndarray, langs: int) -> np.ndarray:
+    """For each language and length band, the cosine that all but LOW of the sampled texts of that
+    language and of the bands beside reach; of all languages where those are fewer than ENOUGH. So
+    single odd texts do not move it. Where those are still too few, the lowest of more bands."""
+    out = np.zeros((langs, 64))
     for i in range(64):
-        if (band == i).any():
-            low = float(near[band == i].min())
-        usual[i] = low
-    # A longer text lies no farther than a shorter one may.
-    usual = np.minimum.accumulate(usual[::-1])[::-1]
-    return Model(idf, np.concatenate(parts), [r.lang for r, p in zip(rows, parts) for _ in p], usual)
+        for k in range(langs):
+            some = (np.abs(band - i) <= 1) & (lang == k)
+            reach = 1
+            while some.sum() < ENOUGH and reach < 64:
+                some = np.abs(band - i) <= reach
+                reach += 1
+            out[k, i] = np.quantile(near[some], LOW if reach <= 2 else 0)
+    return out
 
 
 def predict(docs: DataFrame, model: Model, reject_below: float = REJECT_BELOW,
@@ -201,7 +215,7 @@ def predict(docs: DataFrame, model: Model, reject_below: float = REJECT_BELOW,
                     for i, b, row in zip(known, best.tolist(), cos):
                         c = min(1.0, max(0.0, float(row[b])))
                         lang[i], score[i] = langs[b], c
-                        far[i] = c < reject_below * usual[int(len(texts[i].encode())).bit_length() - 1]
+                        far[i] = c < reject_below * usual[b, len(texts[i].encode()).bit_length() - 1]
                 found += lang
                 scores += score
                 out += far

@@ -33,6 +33,20 @@ def test_languages(spark):
     assert named.columns == [*d.columns, "a", "b", "c"]
 
 
+def test_hexadecimal_words_and_gibberish_are_rejected(spark):
+    """Also where a few sampled texts are mislabelled."""
+    rng = random.Random(6)
+    junk = (lambda n: " ".join("%08x" % rng.getrandbits(32) for _ in range(n)))
+    rows = [(i, text(rng, lang, rng.choice([8, 40, 300])), lang) for i, lang in enumerate(list(SYLLABLES) * 100)]
+    rows += [(500 + i, text(rng, list(SYLLABLES)[1], 200), list(SYLLABLES)[0]) for i in range(2)]
+    odd = [(900, junk(4)), (901, junk(60)), (902, junk(400)), (903, "zzq xkw vvj qqx " * 5), (904, "wq zx"), (905, "x" * 500)]
+    model = langid.learn(docs(spark, rows, "doc_id long, text string, lang string"))
+    every = langid.predict(docs(spark, [(i, t, None) for i, t, *_ in rows + odd], "doc_id long, text string, lang string"), model)
+    rejected = {r.doc_id for r in every.filter("rejected").collect()}
+    assert {900, 901, 902, 903, 904, 905} <= rejected
+    assert not rejected & set(range(3 * 100))
+
+
 def test_no_learning_rows(spark):
     d = docs(spark, [(1, "some text", None)], "doc_id long, text string, lang string")
     model = langid.learn(d)
