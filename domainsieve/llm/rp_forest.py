@@ -93,6 +93,9 @@ def route(v: np.ndarray, tree: Subtree) -> list[tuple[int, np.ndarray]]:
 
 def unit(vectors) -> np.ndarray:
     v = np.stack(list(vectors)).astype(np.float64)
+    size = np.abs(v).max(axis=1, keepdims=True)
+    # Where a square would over- or underflow, by the largest component first.
+    v = np.where((size > 1e100) | (size < 1e-100), v / size, v)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 

@@ -52,3 +52,11 @@ def test_empty_and_mixed_lengths(spark):
     rows = [(1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "b"), (3, [1.0, 0.0, 0.0], "c"), (2, [2.0, 0.0], "b")]
     got = sorted(map(tuple, rp_forest.near_vectors(spark.createDataFrame(rows, schema)).collect()))
     assert got == [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 0, 3, True)]
+
+
+def test_vectors_of_extreme_length(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e190]), (3, [1e-200, 0.0]), (4, [1.0, 0.0]), (5, [1.7e308, 1.7e308]),
+            (6, [3.0, 3.1]), (7, [0.0, 5e-324])]
+    got = rp_forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {
+        1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
