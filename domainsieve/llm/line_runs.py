@@ -6,9 +6,10 @@ of the suffixes by their first 2L lines; positions with equal rank form an inter
 with at least that common prefix. A position whose rank is unique leaves the array: what starts
 there is not repeated. Doubling ends when no position is left.
 
-The intervals at `min_lines` tell which runs of that many lines have an earlier copy. Adjacent
-ones join to maximal repeated runs, whose lines are deleted; the first copy of a line always
-stays. Order is by doc_id, then line.
+Each place that has an earlier copy keeps the longest length at which it has one. A line goes when
+such a stretch of at least `min_lines` lines reaches over it, or when it alone has an earlier copy
+and at least `min_words` words; the first copy of a line always stays. Order is by doc_id, then
+line.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from domainsieve.llm.common import Steps, hot_join
 
 MIN_LINES = 2
+# A repeated line of so many words goes by itself; words are what spaces part.
+MIN_WORDS = 20
 # Ranges of ranks in the numbering of classes; pairs of ranges are at most RANGES ** 2 rows.
 RANGES = 256
 _AT = ["doc_id", "h", "i"]
@@ -94,33 +97,46 @@ def line_keys(docs: DataFrame) -> DataFrame:
     rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("i", "line"))
     key = F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
-    return rows.select(*_AT, key.alias("key")).dropDuplicates(_AT)
+    spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    return rows.select(*_AT, key.alias("key"), (spaces + 1).alias("words")).dropDuplicates(_AT)
 
 
-def without_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def repeated_lines(lines: DataFrame, min_lines: int, min_words: int, steps: Steps) -> DataFrame:
+    """(doc_id, h, i) of the lines to delete, of stored line_keys()."""
+    starts, depths = repeated_starts(lines, min_lines, steps)
+    runs = depths.unionByName(starts.withColumn("lines", F.lit(min_lines))).groupBy(*_AT).agg(F.max("lines").alias("lines"))
+    # Every line of a repeated run is itself a place with an earlier copy, so each is among these rows.
+    reach = F.max(F.when(F.col("lines") >= min_lines, F.col("i") + F.col("lines"))).over(
+        Window.partitionBy("doc_id", "h").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    covered = steps.save(runs.withColumn("reach", F.coalesce(reach, F.lit(0))), "runs")
+    alone = covered.filter("reach <= i").join(lines.filter(F.col("words") >= min_words).select(*_AT), _AT)
+    return covered.filter("reach > i").select(*_AT).unionByName(alone.select(*_AT))
+
+
+def without_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text_kept, n_lines and n_kept; columns of these names are replaced, others stay.
 
     A line is deleted when it lies in a run of at least min_lines lines that an earlier place of
-    the corpus has too. Rows with the same doc_id and text are one document; a row without a
-    doc_id stays whole. A null text has no lines and stays null.
+    the corpus has too, or has itself an earlier copy and at least min_words words. Rows with the
+    same doc_id and text are one document; a row without a doc_id stays whole. A null text has no
+    lines and stays null.
     """
     steps = Steps(docs.sparkSession, "line-runs")
     lines = steps.save(line_keys(docs), "lines")
-    starts, _ = repeated_starts(lines, min_lines, steps)
-    cut = starts.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set("i").alias("__starts"))
+    cut = repeated_lines(lines, min_lines, min_words, steps).groupBy(
+        F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set("i").alias("__gone"))
     text = F.col("text").cast("string")
     d = docs.drop("text_kept", "n_lines", "n_kept").withColumns({"__text": text, "__hash": F.xxhash64(text)})
     joined = d.join(cut, (d["doc_id"].cast("long") == cut["__id"]) & (d["__hash"] == cut["__h"]), "left")
     all_lines = F.split("__text", "\n")
-    gone = F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (min_lines - 1))))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), "__gone")
     n = F.when(F.col("__text").isNull(), F.lit(0)).otherwise(F.size(all_lines))
-    some = F.col("__starts").isNotNull()
+    some = F.col("__gone").isNotNull()
     return joined.withColumns({
         "text_kept": F.when(some, F.array_join(F.transform(stay, lambda k: F.get(all_lines, k)), "\n"))
         .otherwise(F.col("__text")),
         "n_lines": n.cast("long"), "n_kept": F.when(some, F.size(stay)).otherwise(n).cast("long"),
-    }).drop("__text", "__hash", "__id", "__h", "__starts")
+    }).drop("__text", "__hash", "__id", "__h", "__gone")
 
 
 def op10_line_runs(spark, sf_dir):
@@ -134,7 +150,9 @@ ORACLE = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS li
  w AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM l),
  r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) AS n
  FROM w WHERE next IS NOT NULL),
- gone AS (SELECT doc_id, i FROM r WHERE n > 1 UNION SELECT doc_id, i + 1 FROM r WHERE n > 1),
+ s AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS n FROM l),
+ gone AS (SELECT doc_id, i FROM r WHERE n > 1 UNION SELECT doc_id, i + 1 FROM r WHERE n > 1
+ UNION SELECT doc_id, i FROM s WHERE n > 1 AND length(line) - length(replace(line, ' ', '')) + 1 >= {MIN_WORDS}),
  k AS (SELECT l.doc_id, l.i, l.line, g.i IS NULL AS stays FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i)
  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE stays) AS n_kept,
  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '')) AS kept_sha256

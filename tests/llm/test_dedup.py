@@ -238,8 +238,9 @@ def test_passages_of_unspaced_text(spark):
 
 # -- lines --------------------------------------------------------------------
 
-def without_runs(rows, size):
-    """Brute force over (doc_id, text): lines left after removing later copies of runs."""
+def without_runs(rows, size, long_):
+    """Brute force over (doc_id, text): lines left after removing later copies of runs, and of lines
+    of at least long_ words."""
     seen, out = set(), {}
     for i, t in sorted(r for r in rows if r[0] is not None and r[1] is not None):
         lines, gone = t.split("\n"), set()
@@ -248,6 +249,10 @@ def without_runs(rows, size):
             if run in seen:
                 gone.update(range(k, k + size))
             seen.add(run)
+        for k, x in enumerate(lines):
+            if (0, x) in seen and x.count(" ") + 1 >= long_:
+                gone.add(k)
+            seen.add((0, x))
         out[i] = [x for k, x in enumerate(lines) if k not in gone]
     return out
 
@@ -259,7 +264,12 @@ def test_line_runs(spark, size):
     long = "\n".join(f"unique {k}" for k in range(70))
     rows += [(200, long), (201, f"head\n{long}\ntail"), (202, None), (203, ""), (204, "x\nx\nx\nx"), (205, "\n\n\n"), (None, long)]
     d = docs(spark, rows + [rows[3]])
-    want = without_runs(rows, size)
+    passage = prose(rng, 25)
+    rows += [(300, passage), (301, passage), (302, f"{passage}\n{prose(rng, 19)}"), (303, f"a\n{passage}\nb {size}"),
+             (304, f"{passage}\n{passage}"), (305, "one two\nother"), (306, "one two\nmore")]
+    d = docs(spark, rows + [rows[3]])
+    want = without_runs(rows, size, 20)
+    assert size == 1 or (want[301], want[304], want[306]) == ([], [], ["one two", "more"])
     got = line_runs.without_repeated_runs(d, size).collect()
     assert len(got) == len(rows) + 1
     for r in got:
