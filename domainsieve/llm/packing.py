@@ -35,6 +35,10 @@ _LETTERS = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u02
 SLICE_BYTES = 2 << 20
 
 
+def _size(words: dict[str, bytes]) -> int:
+    return sum(map(len, words)) + sum(map(len, words.values())) + OVERHEAD * len(words)
+
+
 class WordTokenizer:
     """Ids of whole texts. A word between white space has the same ids in any text, since the
     tokenizer drops white space and no step of it looks across; so words are remembered."""
@@ -49,16 +53,16 @@ class WordTokenizer:
         self.size = 0
 
     def plain(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, by one call of the tokenizer for each."""
+        """Ids of each word, taken by itself."""
         return [np.array(e.ids, "<u4").tobytes()
-                for e in self.t.encode_batch(words, add_special_tokens=False)]
+                for e in self.t.encode_batch_fast(words, add_special_tokens=False)]
 
     def letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only: each ends with the one id that carries a word end."""
         out: list[bytes] = []
-        for at in range(0, len(words), 256):
-            part = words[at:at + 256]
-            ids = np.array(self.t.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+        parts = [words[at:at + 64] for at in range(0, len(words), 64)]
+        for part, e in zip(parts, self.t.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, np.int64)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):
                 out += self.plain(part)
@@ -92,13 +96,12 @@ class WordTokenizer:
 
     def remember(self, more: dict[str, bytes], current: list[str]) -> None:
         """Keep short words; when that is too much, only those of `current`."""
-        for w, ids in more.items():
-            if len(w) <= LONGEST and w not in self.seen:
-                self.seen[w] = ids
-                self.size += len(w) + len(ids) + OVERHEAD
+        short = {w: ids for w, ids in more.items() if len(w) <= LONGEST}
+        self.seen.update(short)
+        self.size += _size(short)
         if self.size > REMEMBERED:
             self.seen = {w: self.seen[w] for w in current if w in self.seen}
-            self.size = sum(len(w) + len(ids) + OVERHEAD for w, ids in self.seen.items())
+            self.size = _size(self.seen)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in a row, and where each text starts; null texts have none."""

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from domainsieve.llm.common import text_batches
 
 SLICE_BYTES = 4 << 20
+# Bytes of text whose words are hashed at once.
+HASH_BYTES = 1 << 19
 # Thai and Lao, Myanmar, Khmer, kana, Han, compatibility Han.
 UNSPACED = "\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -41,19 +43,25 @@ _BASE, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 2 ** 64)
 _LONG_WORD = 256
 
 
-@functools.lru_cache(maxsize=2)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+@functools.lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, HASH_BYTES + 1), _powers(_INVERSE, HASH_BYTES + 1)
+
+
 def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the words data[start:end], which do not depend on where they lie."""
-    n = 1 << max(12, int(len(data)).bit_length())
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * _powers(_BASE, n)[:len(data)], out=sums[1:])
-    h = mixed((sums[end] - sums[start]) * _powers(_INVERSE, n)[start] + (end - start).astype(np.uint64))
+    n = len(data)
+    # More than HASH_BYTES are one word.
+    power, inverse = _kept_powers() if n <= HASH_BYTES else (_powers(_BASE, n), _powers(_INVERSE, 1))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUE[data] * power[:n], out=sums[1:])
+    h = mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
     for k in np.flatnonzero(end - start > _LONG_WORD).tolist():
         h[k] = xxhash.xxh3_64_intdigest(data[start[k]:end[k]].tobytes().lower())
     return h
@@ -78,7 +86,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     while k < len(start):
         # Some words at a time, so that a very long text takes no more memory than its own.
         low = int(start[k])
-        stop = max(k + 1, int(np.searchsorted(end, low + SLICE_BYTES, "right")))
+        stop = max(k + 1, int(np.searchsorted(end, low + HASH_BYTES, "right")))
         out[k:stop] = _hashed(data[low:int(end[stop - 1])], start[k:stop] - low, end[k:stop] - low)
         k = stop
     return out, np.searchsorted(start, offsets)

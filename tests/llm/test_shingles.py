@@ -25,8 +25,11 @@ def test_words_have_one_hash_wherever_they_lie(monkeypatch):
         for w, x in zip(found, h[a:b].tolist()):
             assert of.setdefault(w, x) == x
     assert len(set(of.values())) == len(of)
-    monkeypatch.setattr(sh, "SLICE_BYTES", 400)
+    sh._kept_powers.cache_clear()
+    monkeypatch.setattr(sh, "HASH_BYTES", 120)
     assert (sh.word_hashes(pa.array(rows))[0] == h).all()
+    monkeypatch.undo()
+    sh._kept_powers.cache_clear()
     part = sh.word_hashes(pa.array(rows).slice(50, 20))
     assert (part[0] == h[at[50]:at[70]]).all()
     assert [len(x) for x in sh.word_hashes(pa.array([], pa.string()))] == [0, 1]
