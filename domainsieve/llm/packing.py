@@ -26,7 +26,7 @@ from domainsieve.llm.common import Steps, buckets_for, ranked, text_batches
 
 SEQUENCE = 4096
 # Bytes of words and ids that a worker remembers; beyond, it keeps those of the texts at hand.
-REMEMBERED = 56 << 20
+REMEMBERED = 32 << 20
 # Longer words are not remembered. Each one kept takes so many bytes beside its own.
 LONGEST, OVERHEAD = 64, 180
 # Letters that the tokenizer's first steps keep as one letter each: Latin ones but the dotted capital I.
