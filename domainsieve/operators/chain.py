@@ -11,7 +11,8 @@ chain of links from the name's first admissible event. The chain is found withou
    whatever the ttl.
 4. The blocks that the chain enters list its events from the entry on.
 
-A task holds one block of one name. A name's chain enters a block at most once.
+A task holds one block, which may lie in a very common name or hold thousands of names. A name's
+chain enters a block at most once.
 """
 
 from __future__ import annotations
@@ -28,12 +29,19 @@ from domainsieve.sources.workdir import removed, written
 # Before all times.
 _START = -(2 ** 62)
 _EVENT, _PROBE = 0, 1
+# Blocks of fewer rows than this are not made beyond the first FEW_BLOCKS: each one is a task and a file.
+BLOCK_ROWS = 100_000
+FEW_BLOCKS = 64
+
+
+def _block_count(rows: int, block_rows: int) -> int:
+    return max(1, min(-(-rows // block_rows), max(FEW_BLOCKS, -(-rows // BLOCK_ROWS))))
 
 
 def _blocks(events: DataFrame, start: DataFrame, ttl: int, block_rows: int, folder: str) -> DataFrame:
     """(domain, at, kind, src, block): events at their time, and probes at the time their link starts."""
     events = written(events.distinct(), f"{folder}/events")
-    blocks = max(1, -(-2 * events.count() // block_rows))
+    blocks = _block_count(2 * events.count(), block_rows)
     none = F.lit(None).cast("long")
     points = events.select("domain", F.col("t").alias("at"), F.lit(_EVENT).alias("kind"), none.alias("src"))
     probes = events.select("domain", (F.col("t") + ttl).alias("at"), F.lit(_PROBE).alias("kind"), F.col("t").alias("src"))
@@ -43,9 +51,20 @@ def _blocks(events: DataFrame, start: DataFrame, ttl: int, block_rows: int, fold
     return written(ordered.withColumn("block", F.spark_partition_id()), f"{folder}/blocks")
 
 
-def _next_in(times: np.ndarray, ttl: int) -> np.ndarray:
-    """Place of the next admissible event of each one, len(times) where it is outside."""
-    return np.searchsorted(times, times + ttl, "right")
+def _later(names: np.ndarray, times: np.ndarray, asked: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Place of the first event of the name `asked` after the time `at`, len(times) where there is none.
+
+    Events are given in order of (names, times).
+    """
+    n = len(times)
+    if not n:
+        return np.zeros(len(asked), np.int64)
+    kind = np.repeat([_EVENT, _PROBE], [n, len(asked)])
+    order = np.lexsort((kind, np.concatenate([times, at]), np.concatenate([names, asked])))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(order < n)
+    found = place[n:]
+    return np.where((found < n) & (names[np.minimum(found, n - 1)] == asked), found, n)
 
 
 _LINKS = "domain string, head boolean, src long, z long, zblock int, to long, after int"
@@ -58,38 +77,41 @@ def _links(points: DataFrame, ttl: int) -> DataFrame:
     reaches. Where no event of the block follows, both are null and `after` names the block.
     """
     def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        domain, block = key
-        kind, at = rows["kind"].to_numpy(), rows["at"].to_numpy("int64")
-        times = np.sort(at[kind == _EVENT])
+        block, = key
+        rows = rows.assign(name=pd.factorize(rows["domain"], use_na_sentinel=False)[0]).sort_values(["name", "at"])
+        events, probes = rows[rows["kind"] == _EVENT], rows[rows["kind"] == _PROBE]
+        names, times = events["name"].to_numpy(), events["at"].to_numpy("int64")
         n = len(times)
-        last = np.minimum(_next_in(times, ttl), n)
+        last = _later(names, times, names, times + ttl)
         last = np.where(last < n, last, np.arange(n))
         while n and (last[last] != last).any():
             last = last[last]
-        probes = rows[kind == _PROBE]
-        found = np.searchsorted(times, probes["at"].to_numpy("int64"), "right")
-        src = probes["src"].astype("Int64")
+        asked, src = probes["name"].to_numpy(), probes["src"].astype("Int64")
+        found = _later(names, times, asked, probes["at"].to_numpy("int64"))
         # A link from an event of this block to another one of it was followed above.
-        inside = src.ge(times[0]).fillna(False).to_numpy(bool) if n else np.zeros(len(src), bool)
-        keep = ~(inside & (found < n))
-        src, found = src[keep], found[keep]
+        start = times[np.minimum(np.searchsorted(names, asked), n - 1)] if n else np.zeros(len(src), "int64")
+        keep = ~(src.ge(start).fillna(False).to_numpy(bool) & (found < n))
+        probes, src, found = probes[keep], src[keep], found[keep]
         has = found < n
         at_block = np.where(has, found, 0)
         z = pd.array(times[at_block] if n else np.zeros(len(src), "int64"), "Int64")
         to = pd.array(times[last[at_block]] if n else np.zeros(len(src), "int64"), "Int64")
         z[~has], to[~has] = pd.NA, pd.NA
-        out = pd.DataFrame({"domain": domain, "head": False, "src": src.array, "z": z,
+        out = pd.DataFrame({"domain": probes["domain"].array, "head": False, "src": src.array, "z": z,
                             "zblock": pd.array(np.where(has, block, 0), "Int32"), "to": to,
                             "after": pd.array(np.full(len(src), block), "Int32")})
         out.loc[has, "after"] = pd.NA
         if n:
-            first = pd.DataFrame({"domain": [domain], "head": [True], "src": pd.array([pd.NA], "Int64"),
-                                  "z": pd.array([times[0]], "Int64"), "zblock": pd.array([block], "Int32"),
-                                  "to": pd.array([times[last[0]]], "Int64"), "after": pd.array([pd.NA], "Int32")})
-            out = first if out.empty else pd.concat([out, first], ignore_index=True)
+            first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+            many = len(first)
+            heads = pd.DataFrame({"domain": events["domain"].array[first], "head": True,
+                                  "src": pd.array([pd.NA] * many, "Int64"), "z": pd.array(times[first], "Int64"),
+                                  "zblock": pd.array(np.full(many, block), "Int32"),
+                                  "to": pd.array(times[last[first]], "Int64"), "after": pd.array([pd.NA] * many, "Int32")})
+            out = heads if out.empty else pd.concat([out, heads], ignore_index=True)
         return out
 
-    return points.groupBy("domain", "block").applyInPandas(run, _LINKS)
+    return points.groupBy("block").applyInPandas(run, _LINKS)
 
 
 def _closed(links: DataFrame) -> DataFrame:
@@ -149,13 +171,14 @@ def admitted_chain(events: DataFrame, start: DataFrame, ttl: int, block_rows: in
     entries = written(entries.select("domain", F.col("zblock").alias("block"), "z"), f"{folder}/entries")
 
     def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(rows["at"].to_numpy("int64"))
-        following, taken = _next_in(times, ttl).tolist(), []
-        i = int(np.searchsorted(times, rows["z"].iloc[0]))
-        while i < len(times):
-            taken.append(i)
-            i = following[i]
-        return pd.DataFrame({"domain": key[0], "t": times[taken]})
+        rows = rows.assign(name=pd.factorize(rows["domain"])[0]).sort_values(["name", "at"])
+        names, times = rows["name"].to_numpy(), rows["at"].to_numpy("int64")
+        following, taken = _later(names, times, names, times + ttl).tolist(), []
+        for i in np.flatnonzero(times == rows["z"].to_numpy("int64")).tolist():
+            while i < len(times):
+                taken.append(i)
+                i = following[i]
+        return pd.DataFrame({"domain": rows["domain"].array[taken], "t": times[taken]})
 
     entered = points.filter(F.col("kind") == _EVENT).join(small_or_shuffled(entries), ["domain", "block"])
-    return entered.groupBy("domain", "block").applyInPandas(run, "domain string, t long")
+    return entered.groupBy("block").applyInPandas(run, "domain string, t long")

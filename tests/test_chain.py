@@ -64,6 +64,17 @@ def test_rounds_do_not_depend_on_the_ttl(spark, tmp_path):
     assert max(rounds.values()) <= 1 + 5
 
 
+def test_many_small_names_share_blocks(spark, tmp_path):
+    """2000 names of 6 events with blocks of 6 were 4000 blocks, each a task and a file."""
+    rng = random.Random(8)
+    events = [(f"n{k}", t) for k in range(2000) for t in rng.sample(range(1000), 6)]
+    starts = {f"n{k}": rng.choice([None, -50, 400]) for k in range(2000)}
+    d, s = spark.createDataFrame(events, EVENTS), spark.createDataFrame(list(starts.items()), START)
+    got = [tuple(r) for r in admitted_chain(d, s, 100, 6, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == replay(events, 100, starts)
+    assert spark.read.parquet(f"{tmp_path}/blocks").select("block").distinct().count() <= 64
+
+
 def test_history_with_names_of_both_kinds(spark):
     rng = random.Random(5)
     events = [("hot" if i % 3 == 0 else f"n{rng.randint(0, 40)}", NOW + timedelta(seconds=rng.randint(0, 40 * 86400)))
