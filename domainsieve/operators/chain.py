@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from domainsieve.operators.lookup import small_or_shuffled
 from domainsieve.sources.workdir import removed, written
 
-# Before all times.
-_START = -(2 ** 62)
+# Before all times; and where an event without a time stands, before that.
+_START, _NO_TIME = -(2 ** 62), -(2 ** 63)
 _EVENT, _PROBE = 0, 1
 # Blocks of fewer rows than this are not made beyond the first FEW_BLOCKS: each one is a task and a file.
 BLOCK_ROWS = 100_000
@@ -47,6 +47,7 @@ def _blocks(events: DataFrame, start: DataFrame, ttl: int, block_rows: int, fold
     probes = events.select("domain", (F.col("t") + ttl).alias("at"), F.lit(_PROBE).alias("kind"), F.col("t").alias("src"))
     first = start.select("domain", F.coalesce(F.col("last") + ttl, F.lit(_START)).alias("at"),
                          F.lit(_PROBE).alias("kind"), none.alias("src"))
+    points, probes = (d.withColumn("at", F.coalesce("at", F.lit(_NO_TIME))) for d in (points, probes))
     ordered = points.unionByName(probes).unionByName(first).repartitionByRange(blocks, "domain", "at", "kind")
     return written(ordered.withColumn("block", F.spark_partition_id()), f"{folder}/blocks")
 
@@ -171,7 +172,7 @@ def admitted_chain(events: DataFrame, start: DataFrame, ttl: int, block_rows: in
     entries = written(entries.select("domain", F.col("zblock").alias("block"), "z"), f"{folder}/entries")
 
     def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(name=pd.factorize(rows["domain"])[0]).sort_values(["name", "at"])
+        rows = rows.assign(name=pd.factorize(rows["domain"])[0]).drop_duplicates(["name", "at"]).sort_values(["name", "at"])
         names, times = rows["name"].to_numpy(), rows["at"].to_numpy("int64")
         following, taken = _later(names, times, names, times + ttl).tolist(), []
         for i in np.flatnonzero(times == rows["z"].to_numpy("int64")).tolist():

@@ -69,7 +69,10 @@ def test_many_small_names_share_blocks(spark, tmp_path):
     rng = random.Random(8)
     events = [(f"n{k}", t) for k in range(2000) for t in rng.sample(range(1000), 6)]
     starts = {f"n{k}": rng.choice([None, -50, 400]) for k in range(2000)}
-    d, s = spark.createDataFrame(events, EVENTS), spark.createDataFrame(list(starts.items()), START)
+    # An event without a time is never admitted.
+    d = spark.createDataFrame([*events, ("n3", None), ("n4", None)], EVENTS)
+    starts["n3"] = starts["n4"] = None
+    s = spark.createDataFrame(list(starts.items()), START)
     got = [tuple(r) for r in admitted_chain(d, s, 100, 6, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == replay(events, 100, starts)
     assert spark.read.parquet(f"{tmp_path}/blocks").select("block").distinct().count() <= 64
