@@ -20,6 +20,8 @@ LATE = "1 day"
 BUCKETS = 1024
 # A bucket is searched for ended names at most so many times within a ttl.
 SEARCHES = 8
+# An event without a time stands before all others, and is given out without one.
+_NO_TIME = -(2 ** 63)
 
 # Python workers get this code with the job, so they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -65,7 +67,7 @@ class _Admission(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.DataFrame({"domain": [], "t": []})
         for k, chunk in enumerate(rows):
-            chunk = chunk[["domain", "t"]]
+            chunk = chunk[["domain"]].assign(t=chunk["t"].fillna(_NO_TIME).astype("int64"))
             events = (pd.concat([events, chunk]) if k else chunk).drop_duplicates()
         domains, admitted, first = [], [], None
         for name, own in events.groupby("domain", sort=False, dropna=False)["t"]:
