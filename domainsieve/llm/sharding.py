@@ -93,18 +93,26 @@ def propagated(cells: DataFrame, quota: list[int], buckets: int, steps: Steps, r
     Every move is from a smaller to the largest cell of its key, so none is ever undone.
     """
     shards, idle = len(quota), 0
-    cells, path = steps.replace(cells, "cells", None)
-    for r in range(rounds):
-        room = [max(0, q - x) for q, x in zip(quota, _loads(cells, shards))]
-        open_ = cells if r % 2 == 0 else cells.filter(_per_shard(room, F.col("shard")) > 0)
+    loads = _loads(cells, shards)
+
+    def aimed(cells: DataFrame, r: int, room: list[int]) -> DataFrame:
+        """cells with `to`, the shard that they want to move to in round r, or null."""
         # Most neighbours first; ties by a hash that changes, so that both ways are wanted.
         weight = F.struct("n", F.xxhash64("key", "shard", F.lit(r)).alias("h"), "shard")
-        target = open_.groupBy("key").agg(F.max(weight).alias("to"))
-        moves = steps.save(cells.join(target, "key").filter(weight < F.col("to")).select(
-            "key", "shard", F.col("to.shard").alias("to"), "n"), "moves")
+        open_ = F.lit(True) if r % 2 == 0 else _per_shard(room, F.col("shard")) > 0
+        best = F.max(F.when(open_, weight)).over(Window.partitionBy("key"))
+        return cells.withColumn("best", best).select(
+            "key", "shard", "n", F.when(weight < F.col("best"), F.col("best.shard")).alias("to"))
+
+    path = None
+    for r in range(rounds):
+        room = [max(0, q - x) for q, x in zip(quota, loads)]
+        cells, path = steps.replace(aimed(cells, r, room), "cells", path)
+        moves = cells.filter("to IS NOT NULL").select("key", "shard", "to", "n")
         # At most shards ** 2 rows.
         wanted = {(m["shard"], m["to"]): m["n"] for m in moves.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
         may = accepted(wanted, room)
+        cells = cells.drop("to")
         idle = idle + 1 if not may else 0
         if idle == 2:
             break
@@ -114,12 +122,14 @@ def propagated(cells: DataFrame, quota: list[int], buckets: int, steps: Steps, r
         bound = _per_shard([may.get((a, b), 0) for a in range(shards) for b in range(shards)],
                            F.col("shard") * shards + F.col("to"))
         taken = F.greatest(F.lit(0), F.least(F.col("n"), bound - F.col("start")))
-        done = steps.save(ordered.select("key", "shard", "to", taken.alias("n")).filter("n > 0"), "accepted")
-        changed = cells.unionByName(done.select("key", "shard", (-F.col("n")).alias("n"))).unionByName(
-            done.select("key", F.col("to").alias("shard"), "n"))
-        cells, path = steps.replace(changed.groupBy("key", "shard").agg(F.sum("n").alias("n")).filter("n > 0"),
-                                    "cells", path)
-    return cells
+        done = ordered.select("key", "shard", "to", taken.alias("n")).filter("n > 0")
+        both = F.inline(F.array(F.struct("shard", (-F.col("n")).alias("n")), F.struct(F.col("to").alias("shard"), "n")))
+        changed = cells.unionByName(done.select("key", both))
+        cells = changed.groupBy("key", "shard").agg(F.sum("n").alias("n")).filter("n > 0")
+        for (a, b), n in may.items():
+            loads[a] -= n
+            loads[b] += n
+    return steps.save(cells, "moved")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -73,3 +73,14 @@ def test_every_text_equal_and_few_rows(spark):
     check(spark, [(i, "same") for i in range(100)])
     check(spark, [(i, f"{i}") for i in range(5)])
     assert check(spark, []) == {}
+
+
+def test_a_round_stores_one_table(spark):
+    """Rounds over few rows cost their jobs; each had three tables and a count of loads."""
+    rows = [(f"k{k}", s, 1 + (7 * k + 3 * s) % 5) for k in range(60) for s in range(4) if (k + s) % 3]
+    cells = spark.createDataFrame(rows, "key string, shard int, n long")
+    total = sum(n for _, _, n in rows)
+    steps = sharding.Steps(spark, "rounds")
+    moved = sharding.propagated(cells, [total // 4 + 1] * 4, 16, steps, rounds=4)
+    assert steps.n <= 4 + 1
+    assert moved.agg({"n": "sum"}).first()[0] == total
