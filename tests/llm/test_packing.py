@@ -76,3 +76,43 @@ def test_words_of_letters_and_bounded_memory(monkeypatch):
         # What is kept after a full memory are the short words of the texts at hand.
         assert max(map(len, tok.seen)) <= packing.LONGEST
         assert tok.size <= 100_000 + sum(len(w) * 13 + packing.OVERHEAD for t in part for w in set(t.split()) if len(w) <= 64)
+
+
+def test_units_are_tokenised_once(monkeypatch):
+    """Marks and case make no new words, and a memory of 1 MB holds most of 8000 words over several slices."""
+    rng = random.Random(6)
+    monkeypatch.setattr(packing, "REMEMBERED", 1 << 20)
+    tok = packing.WordTokenizer(PATH)
+
+    class Counted:
+        words, t = 0, tok.t
+
+        def encode_batch_fast(self, texts, **more):
+            self.words += sum(len(x.split()) for x in texts)
+            return self.t.encode_batch_fast(texts, **more)
+
+    tok.t = counted = Counted()
+    tok.encode(pa.array(["storm Storm STORM storm, Storm!! (storm) storm-storm 'storm"]))
+    # The word, five kinds of marks, and the one word with an apostrophe.
+    assert counted.words <= 7
+    words = ["".join(rng.choices("abcdefghij", k=8)) for _ in range(8000)]
+    texts = [" ".join(words[at:at + 1000]) for at in range(0, 8000, 1000)]
+    first = [tok.encode(pa.array([t]))[0].tolist() for t in texts]
+    counted.words = 0
+    assert [tok.encode(pa.array([t]))[0].tolist() for t in texts] == first
+    assert counted.words < 4000
+
+
+def test_odd_units():
+    """Ids equal the tokenizer's where letters, marks, apostrophes, special tokens and other scripts meet."""
+    rng = random.Random(7)
+    tok, plain = packing.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    parts = [*map(chr, range(1, 0x260)), *"''''||<>IJKST019.,&_-" * 4, "̌", "́", "̇", "K", "日本", "ж", "’", "\x85",
+             "\x1c", "\x00", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "n't", "long" * 9, "&" * 40]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000)] + ["", " ", "\n a \t"]
+    for at in range(0, len(texts), 500):
+        part = texts[at:at + 500]
+        ids, bounds = tok.encode(pa.array(part))
+        want = [e.ids for e in plain.encode_batch(part, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    assert max(len(w.encode()) for w in tok.seen) <= packing.LONGEST
