@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from domainsieve.sources.workdir import new_folder, removed, written
@@ -139,8 +142,37 @@ def components(edges: DataFrame, steps: Steps) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Rows of whole texts go to Python in batches of fewer rows than the default of 10,000."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    """Rows of whole texts go to Python in batches of fewer rows than the default of 10,000: some 2 MB of texts
+    of usual length, of which the JVM and the worker each hold a copy or two outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
+
+
+_kept: list[tuple[str, Callable]] = []
+
+
+def kept(group: str, most: int) -> Callable:
+    """A cache of `most` results for what a worker keeps from task to task, see released()."""
+    def wrap(f: Callable) -> Callable:
+        cached = functools.lru_cache(maxsize=most)(f)
+        _kept.append((group, cached))
+        return cached
+    return wrap
+
+
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    # Where the C library has no such call, nothing is to be done.
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda n: 0)
+
+
+def released(group: str = "") -> None:
+    """Give a worker's memory back to the system, before and between batches: what tasks of other
+    groups have kept, and what has been freed."""
+    for other, cached in _kept:
+        if other != group:
+            cached.cache_clear()
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def is_true(c: Column) -> Column:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from domainsieve.llm.common import Steps, hot_join, text_batches
+from domainsieve.llm.common import Steps, hot_join, released, text_batches
 from domainsieve.operators.lookup import small_or_shuffled
 
 # Rows of one sender, fingerprints of one owner: both bound the memory of a task.
@@ -98,6 +98,7 @@ def digest_rows(docs: DataFrame, bits: int, owners: int) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
+        released()
         part, blocks = TaskContext.get().partitionId(), 0
         ids, shas, lens = [], [], []
         for batch in batches:

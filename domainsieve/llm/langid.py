@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from domainsieve.llm.common import Steps, is_true, text_batches, with_fields
+from domainsieve.llm.common import Steps, is_true, released, text_batches, with_fields
 
 DIMENSIONS = 1 << 14
 CLUSTERS = 4
@@ -93,6 +93,7 @@ def _learning(docs: DataFrame) -> DataFrame:
 def frequencies(learning: DataFrame, steps: Steps) -> tuple[np.ndarray, dict[str, int]]:
     """Inverse document frequencies, and the number of learning documents per language."""
     def run(batches):
+        released()
         df, n, langs = np.zeros(DIMENSIONS, np.int64), 0, Counter()
         for batch in batches:
             langs.update(batch.column(1).to_pylist())
@@ -203,6 +204,7 @@ def predict(docs: DataFrame, model: Model, reject_below: float = REJECT_BELOW,
     langs, idf, centroids, usual = model.langs, model.idf, model.centroids, model.usual
 
     def run(batches):
+        released()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
             found, scores, out = [], [], []

@@ -13,7 +13,6 @@ Blocks are measured in shingles, and inside one only sets that share a rare shin
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections.abc import Callable
@@ -23,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from domainsieve.llm.common import Steps, components, hot_join, text_batches
+from domainsieve.llm.common import Steps, components, hot_join, kept, released, text_batches
 from domainsieve.llm.shingles import mixed, sets_of, with_sets
 from domainsieve.operators.lookup import small_or_shuffled
 from domainsieve.sources.workdir import removed
@@ -38,8 +37,8 @@ BLOCK = 1 << 20
 FEW = 16
 # Shingles that are looked up at a time.
 CHUNK = 4096
-# Band keys that a task gathers before it deals them out, and keys of a slot.
-DEALT, SLOT_KEYS = 1 << 21, 1 << 20
+# Band keys that a task gathers before it deals them out, keys of a slot, and keys that one task counts.
+DEALT, SLOT_KEYS, TASK_KEYS = 1 << 21, 1 << 15, 1 << 18
 
 
 def band_shape(percent: int, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -52,7 +51,7 @@ def band_shape(percent: int, most: int = MOST_BANDS) -> tuple[int, int]:
     return best
 
 
-@functools.lru_cache(maxsize=2)
+@kept("shingles", 2)
 def permutations(size: int) -> tuple[np.ndarray, np.ndarray]:
     """The first permutation, and all windows of `size` values of the second, wrapped round."""
     first = np.random.default_rng(11).permutation(PLACES).astype(np.int32)
@@ -99,6 +98,7 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def signed(items: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """(id, n, digest of the set, band keys) of items (id, text); no digest for empty sets."""
     def run(batches):
+        released("shingles")
         for batch in batches:
             at = 0
             for values, starts in sets_of(batch.column(1), words):
@@ -113,7 +113,7 @@ def signed(items: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                      pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
                     names=["id", "n", "digest", "bands"])
                 at += len(n)
-            pa.default_memory_pool().release_unused()
+            released("shingles")
 
     text_batches(items.sparkSession)
     return items.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(
@@ -156,11 +156,14 @@ def bucket_members(reps: DataFrame, count: int, steps: Steps) -> DataFrame:
     bucket and its size.
 
     Keys are shuffled once, packed in arrays by slot, a third smaller than as rows. All of a slot is
-    in one partition, where buckets are counted and met again without another shuffle.
+    in one partition, where buckets are counted and met again without another shuffle; a partition
+    has some TASK_KEYS keys.
     """
     spark = reps.sparkSession
-    slots = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * MOST_BANDS // SLOT_KEYS))
-    packed = _dealt(reps, slots).repartition("slot").select("slot", F.explode(F.arrays_zip("keys", "ids")).alias("e"))
+    usual, parts = int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * MOST_BANDS // TASK_KEYS)
+    slots = max(4 * usual, -(-count * MOST_BANDS // SLOT_KEYS))
+    by = (parts, "slot") if parts > usual else ("slot",)
+    packed = _dealt(reps, slots).repartition(*by).select("slot", F.explode(F.arrays_zip("keys", "ids")).alias("e"))
     keyed = packed.select("slot", F.col("e.keys").alias("key"), F.col("e.ids").alias("id"))
     buckets = keyed.groupBy("slot", "key").agg(F.min("id").alias("first"), F.count("*").alias("m")).filter("m > 1")
     name = "spark.sql.requireAllClusterKeysForCoPartition"

@@ -10,7 +10,6 @@ number says which pattern, which sequence of it, and which place.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import os
 import zlib
@@ -22,7 +21,7 @@ import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from domainsieve.llm.common import Steps, buckets_for, ranked, text_batches
+from domainsieve.llm.common import Steps, buckets_for, kept, ranked, released, text_batches
 from domainsieve.llm.shingles import mixed
 
 SEQUENCE = 4096
@@ -188,7 +187,7 @@ class WordTokenizer:
         return ids[_expanded(at[unit], n[unit])].astype("<u4"), bounds
 
 
-@functools.lru_cache(maxsize=2)
+@kept("packing", 2)
 def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
@@ -213,6 +212,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, sequence: int = SEQUENCE
     alone. Rows with a null or repeated doc_id are documents like others.
     """
     def run(batches):
+        released("packing")
         tok = word_tokenizer(path)
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -228,7 +228,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, sequence: int = SEQUENCE
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            pa.default_memory_pool().release_unused()
+            released("packing")
 
     text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from domainsieve.llm.common import Steps, hot_join, text_batches
+from domainsieve.llm.common import Steps, hot_join, released, text_batches
 from domainsieve.llm.minhash import band_keys, grouped, signatures
 from domainsieve.llm.passages import by_document, repeated_passages, without, without_lines
 from domainsieve.llm.shingles import shingle_table, slices, spaced, word_hashes
@@ -75,6 +75,7 @@ def _signed_lines(docs: DataFrame, words: int, least: int) -> DataFrame:
     bands, rows = SHAPE
 
     def run(batches):
+        released("shingles")
         for batch in batches:
             for s, e in slices(batch.column(3)):
                 owner, i, at, h = _line_hashes(batch.column(3).slice(s, e - s))
@@ -92,7 +93,7 @@ def _signed_lines(docs: DataFrame, words: int, least: int) -> DataFrame:
                      pa.array(np.diff(starts).astype(np.int32)), pa.array(digest, pa.binary()),
                      pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
                     names=["row", *_AT, "n", "digest", "bands"])
-            pa.default_memory_pool().release_unused()
+            released("shingles")
 
     text_batches(docs.sparkSession)
     return docs.select(_ROW, _ID, _HASH, _TEXT).mapInArrow(
@@ -102,6 +103,7 @@ def _signed_lines(docs: DataFrame, words: int, least: int) -> DataFrame:
 def _line_sets(docs: DataFrame, words: int) -> DataFrame:
     """(id, n, set) of the lines that `want` of docs (row, text, want: array<struct<row, id, i>>) asks for."""
     def run(batches):
+        released("shingles")
         for batch in batches:
             ids, texts = [], []
             for row, text, want in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -116,7 +118,7 @@ def _line_sets(docs: DataFrame, words: int) -> DataFrame:
                     [pa.array(ids[s:e], pa.int64()), pa.array(np.diff(starts).astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))],
                     names=["id", "n", "set"])
-            pa.default_memory_pool().release_unused()
+            released("shingles")
 
     return docs.select(_ROW, _TEXT, "want").mapInArrow(run, "id long, n int, set array<long>")
 

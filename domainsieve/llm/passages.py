@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from domainsieve.llm.common import Steps, hot_join, text_batches
+from domainsieve.llm.common import Steps, hot_join, released, text_batches
 from domainsieve.llm.shingles import UNSPACED, mixed, slices, spaced, word_hashes
 
 HALF = 25
@@ -88,6 +88,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
     """(doc_id, h, key) of docs (doc_id, h, text, gone): every anchor once per WINDOW passages in a
     row that have it, as no single stretch is in more of them."""
     def run(batches):
+        released("shingles")
         for batch in batches:
             for start, row, place, _, _, key in passages(kept_texts(batch.column(2), batch.column(3))):
                 new = np.ones(len(key), bool)
@@ -99,7 +100,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(key[out].view(np.int64))],
                     names=[*_AT, "key"])
-            pa.default_memory_pool().release_unused()
+            released("shingles")
 
     return docs.select(*_AT, "text", "gone").mapInArrow(run, "doc_id long, h long, key long")
 
@@ -107,6 +108,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
 def _asked(docs: DataFrame) -> DataFrame:
     """(doc_id, h, at, key) of the passages of docs (doc_id, h, text, gone, keys) whose anchor is in keys."""
     def run(batches):
+        released("shingles")
         for batch in batches:
             keys = batch.column(4)
             flat, ends = keys.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(keys.value_lengths().to_numpy()))
@@ -123,7 +125,7 @@ def _asked(docs: DataFrame) -> DataFrame:
                     [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[k].astype(np.int32)),
                      pa.StructArray.from_arrays([pa.array(a[k].view(np.int64)), pa.array(b[k].view(np.int64))], ["a", "b"])],
                     names=[*_AT, "at", "key"])
-            pa.default_memory_pool().release_unused()
+            released("shingles")
 
     return docs.select(*_AT, "text", "gone", "keys").mapInArrow(
         run, "doc_id long, h long, at int, key struct<a: long, b: long>")

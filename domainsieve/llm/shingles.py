@@ -7,7 +7,6 @@ shingle, a text without words the empty set. Two texts are compared by their ful
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from domainsieve.llm.common import text_batches
+from domainsieve.llm.common import kept, released, text_batches
 
 SLICE_BYTES = 2 << 20
 # Bytes of text whose words are hashed at once.
@@ -49,7 +48,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-@functools.lru_cache(maxsize=1)
+@kept("shingles", 1)
 def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
     return _powers(_BASE, HASH_BYTES + 1), _powers(_INVERSE, HASH_BYTES + 1)
 
@@ -172,6 +171,7 @@ def sets_of(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarr
 def with_sets(items: DataFrame, words: int) -> DataFrame:
     """(id, n, set) of items (id, text); the empty set is an empty array."""
     def run(batches):
+        released("shingles")
         for batch in batches:
             at = 0
             for values, starts in sets_of(batch.column(1), words):
@@ -181,7 +181,7 @@ def with_sets(items: DataFrame, words: int) -> DataFrame:
                     [batch.column(0).slice(at, len(lens)), pa.array(lens.astype(np.int32)), sets],
                     names=["id", "n", "set"])
                 at += len(lens)
-            pa.default_memory_pool().release_unused()
+            released("shingles")
 
     text_batches(items.sparkSession)
     return items.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(
